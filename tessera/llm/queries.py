@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
+from .quality import op2_quality_rules
+from .tokenbin import op4_token_ids
+from .tokencount import op6_token_counts
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_ids": op4_token_ids,
+    "op6_token_counts": op6_token_counts,
 }
 
 ORACLES = {
