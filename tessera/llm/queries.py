@@ -5,6 +5,7 @@ from __future__ import annotations
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .neardup import op8_near_duplicates
+from .packing import op7_pack_sequences
 from .quality import op2_quality_rules
 from .tokenbin import op4_token_ids
 from .tokencount import op6_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op6_token_counts": op6_token_counts,
+    "op7_pack_sequences": op7_pack_sequences,
     "op8_near_duplicates": op8_near_duplicates,
 }
 
