@@ -89,17 +89,18 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        ids = encoder(tokenizer).ids
         for batch in batches:
-            rows, raw = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = ids(text.as_py() or "") + end
-                total = len(own) // 4
-                for start in range(0, total, capacity):
-                    piece = own[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
-                    if with_ids:
-                        raw.append(piece)
+            rows, raw, doc_ids = [], [], batch.column("doc_id").to_pylist()
+            for i, j, ids, bounds in encoder(tokenizer).blocks(batch.column("text")):
+                whole = ids.tobytes()
+                for k in range(i, j):
+                    own = whole[4 * bounds[k - i] : 4 * bounds[k - i + 1]] + end
+                    total = len(own) // 4
+                    for start in range(0, total, capacity):
+                        piece = own[4 * start : 4 * (start + capacity)]
+                        rows.append((doc_ids[k], start, len(piece) // 4, zlib.crc32(piece), total))
+                        if with_ids:
+                            raw.append(piece)
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names + ["ids"] * with_ids)

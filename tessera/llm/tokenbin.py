@@ -148,17 +148,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     """Encode every text and write the dataset at `path`, documents in
     ascending doc_id order. Texts are shuffled once, by ranges of their ids."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def segments(batches):
         from pyspark import TaskContext
 
         part, seq, held, size, names = TaskContext.get().partitionId(), 0, [], 0, []
-        ids = encoder(tokenizer).ids
 
         def flush():
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            payload = encode_segment(np.frombuffer(b"".join(held), "<u4"), names, lengths)
+            lengths = np.array([len(x) for x in held], np.int64)
+            payload = encode_segment(np.concatenate(held), names, lengths)
             columns = [[part], [seq], [int(lengths.sum())], [len(held)], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays(
@@ -166,13 +165,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                held.append(ids(text.as_py() or "") + end)
-                names.append(doc_id)
-                size += len(held[-1]) // 4
-                if size >= SEGMENT_IDS:
-                    yield flush()
-                    seq, held, size, names = seq + 1, [], 0, []
+            doc_ids = batch.column("doc_id").to_pylist()
+            for i, j, ids, bounds in encoder(tokenizer).blocks(batch.column("text")):
+                for k in range(i, j):
+                    held.append(np.append(ids[bounds[k - i] : bounds[k - i + 1]], end))
+                    names.append(doc_ids[k])
+                    size += len(held[-1])
+                    if size >= SEGMENT_IDS:
+                        yield flush()
+                        seq, held, size, names = seq + 1, [], 0, []
         if held:
             yield flush()
 
