@@ -119,8 +119,13 @@ def candidate_groups(posted: DataFrame) -> DataFrame:
     another, directly or through others."""
     posted = materialise(posted, "posted")
     heads = posted.groupBy("token").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = posted.join(heads, "token").filter("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
-    member = components(stars.distinct()).select(F.col("node").alias("cid"), F.col("root").alias("group"))
+    # Heads are few: a member is tied to its smallest head, and so are its other heads.
+    tied = posted.join(heads, "token").groupBy("cid").agg(F.collect_set("head").alias("heads"))
+    least = F.array_min("heads")
+    ties = tied.select("cid", least.alias("b"), F.explode("heads").alias("head")).select(
+        F.when(F.col("head") == F.col("b"), F.col("cid")).otherwise(F.col("head")).alias("a"), "b"
+    )
+    member = components(ties.filter("a <> b").distinct()).select(F.col("node").alias("cid"), F.col("root").alias("group"))
     sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"))
     return member.join(sizes, "group").select("cid", "group", "n_blocks")
 
