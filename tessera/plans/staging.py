@@ -15,3 +15,11 @@ def staged(df: DataFrame) -> DataFrame:
         root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(root or f"file://{tempfile.gettempdir()}/tessera-checkpoints")
     return df.checkpoint(eager=True)
+
+
+def workspace(spark, tag: str) -> str:
+    """A new path in the shared folder."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-checkpoints"
+    return f"{root.rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
