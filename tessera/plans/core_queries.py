@@ -418,3 +418,53 @@ def _hilbert_sql() -> str:
 def hilbert_key(spark, sf):
     df = derived(spark, sf, "boxes").select("item_id", ((F.col("item_id") * 37) % 1000 * 65).alias("x"), ((F.col("item_id") * 91) % 1000 * 65).alias("y"))
     return df.select("item_id", curves.hilbert_2d(F.col("x"), F.col("y")).alias("hilbert"))
+
+
+@query(f"{BOXES} SELECT item_id FROM boxes WHERE {WINDOW}")
+def container_search(spark, sf):
+    """Packed trees as rows of a table, pruned by their bounds and descended."""
+    from tessera.sources.boxtree import pack_containers, search_containers
+
+    from .staging import workspace
+
+    path = workspace(spark, "containers")
+    pack_containers(SpatialFrame.build(derived(spark, sf, "boxes")).df).write.parquet(path)
+    return search_containers(spark.read.parquet(path), (200, 200, 300, 300))
+
+
+@query(f"{BOXES} SELECT item_id FROM boxes WHERE {WINDOW}")
+def file_search(spark, sf):
+    """Written clustered, read back with the window pushed to the scan."""
+    from .staging import workspace
+
+    path = workspace(spark, "boxes")
+    SpatialFrame.build(derived(spark, sf, "boxes")).write(path)
+    return SpatialFrame.read(spark, path).search(200, 200, 300, 300).select("item_id")
+
+
+_POINTS64 = "SELECT vec_id AS item_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
+
+
+@query(f"WITH p AS ({_POINTS64}) SELECT item_id FROM p WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.1 AND 0.1 AND z BETWEEN -0.1 AND 0.1")
+def single_precision_points(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    p = e.select(F.col("vec_id").alias("item_id"), *[F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")])
+    exact = SpatialFrame.from_points(p, ["x", "y", "z"], curve=None)
+    return exact.to_single().search_exact(exact, -0.1, -0.1, -0.1, 0.1, 0.1, 0.1).select("item_id")
+
+
+@query(f"WITH p AS ({_POINTS64}), d AS (SELECT item_id, pow(x - 0.05, 2) + pow(y, 2) + pow(z + 0.05, 2) AS d FROM p) SELECT item_id, round(d, 9) AS distance_squared FROM d ORDER BY d.d, item_id LIMIT 8")
+def knn_embedding_points(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    p = e.select(F.col("vec_id").alias("item_id"), *[F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")])
+    found = SpatialFrame.from_points(p, ["x", "y", "z"], curve=None).neighbors((0.05, 0.0, -0.05), 8)
+    return rounded(found.select("item_id", "distance_squared"), "distance_squared", 9)
+
+
+@query(f"{derived_sql('boxes', 'sites')} SELECT query_id, min(item_id) AS first_box, count(*)::BIGINT AS boxes FROM sites, boxes WHERE x - 20 <= max_x AND x + 20 >= min_x AND y - 20 <= max_y AND y + 20 >= min_y GROUP BY query_id")
+def windows_around_points(spark, sf):
+    sites = derived(spark, sf, "sites").select(
+        F.col("query_id").alias("item_id"), (F.col("x") - 20).alias("min_x"), (F.col("y") - 20).alias("min_y"), (F.col("x") + 20).alias("max_x"), (F.col("y") + 20).alias("max_y")
+    )
+    found = joins.overlap_join(sites, derived(spark, sf, "boxes"))
+    return found.groupBy(F.col("left_id").alias("query_id")).agg(F.min("right_id").alias("first_box"), F.count(F.lit(1)).alias("boxes"))
