@@ -19,8 +19,8 @@
    than the rows read.
 5. Components of the links give each document the smallest id it can reach.
 
-With K = 64 and T = 39, a pair of similarity 0.85 is missed with probability
-below 1e-6 (binomial tail), one of 0.9 below 1e-10.
+T is the largest number that a pair just at the threshold misses with a
+probability below 1e-6 (binomial tail): 39 of K = 64 for a similarity of 0.85.
 
 Defined cases: shingles are of `size` words, a text with fewer words is its
 only shingle, a text without words is linked with nothing and stays; repeated
@@ -30,6 +30,8 @@ its rows lack one; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,8 @@ from .storage import materialise
 from .textblocks import Block, mix, seeded, shingles, text_blocks
 
 SHINGLE_WORDS = 5
-K, T = 64, 39
+K = 64
+MISS = 1e-6
 BLOCK = 192
 #: Candidates (about 100 bytes each) are broadcast to the texts up to this
 #: number; beyond it, texts and candidates are joined by shuffle.
@@ -103,7 +106,17 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return rows.mapInArrow(prints, FINGERPRINTS)
 
 
-def posted_prefixes(classes: DataFrame, threshold: int = T) -> DataFrame:
+def match_threshold(percent: int) -> int:
+    """Collisions that pairs of this similarity reach, but for a share of MISS."""
+    p, tail = percent / 100, 0.0
+    for t in range(K + 1):
+        tail += comb(K, t) * p**t * (1 - p) ** (K - t)
+        if tail >= MISS:
+            return t
+    return K
+
+
+def posted_prefixes(classes: DataFrame, threshold: int) -> DataFrame:
     """(cid, token): the coordinate-value pairs that each class is posted under."""
     tokens = classes.select("cid", F.posexplode("signature").alias("k", "v")).select(
         "cid", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
@@ -210,9 +223,10 @@ def confirm(size: int, percent: int, threshold: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85, threshold: int = T) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id,
     text), linked where 100 * intersection >= percent * union."""
+    threshold = match_threshold(percent)
     prints = materialise(fingerprints(docs, size), "prints")
     classes = materialise(
         prints.filter("n_shingles > 0")

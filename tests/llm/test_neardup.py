@@ -11,7 +11,7 @@ def sets_of(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Component of every row by comparing all pairs of texts."""
     sets = [sets_of(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -24,7 +24,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -74,6 +74,10 @@ def test_hot_group_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_thresholds():
+    assert neardup.match_threshold(85) == 39 and neardup.match_threshold(80) < 39 and neardup.match_threshold(100) == 64
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None), (9, "z " * 3000)]
     assert run(spark, rows) == brute(rows)
