@@ -65,6 +65,11 @@ BOX = Query("box", (100.0, -30.0, 179.0, 30.0))
 ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in ("min_x", "min_y", "max_x", "max_y"))
 
 
+def _part():
+    """No part is written as -1, which engines compare alike."""
+    return F.coalesce(F.col("part"), F.lit(-1)).alias("part")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in box_names(2)})
 
@@ -74,9 +79,9 @@ def geo_scan_planar(spark, sf):
     return _rounded(scan_envelopes(lines(spark, sf)).select("row_number", *box_names(2)))
 
 
-@query(f"{SPLIT} SELECT row_number, part, {ROUND} FROM entry")
+@query(f"{SPLIT} SELECT row_number, coalesce(part, -1)::INTEGER AS part, {ROUND} FROM entry")
 def geo_scan_split(spark, sf):
-    return _rounded(scan_envelopes(lines(spark, sf), policy="split").select("row_number", "part", *box_names(2)))
+    return _rounded(scan_envelopes(lines(spark, sf), policy="split").select("row_number", _part(), *box_names(2)))
 
 
 @query(f"{LINES} SELECT row_number, round(CASE WHEN over THEN -180 ELSE w END, 6) AS min_x, round(CASE WHEN over THEN 180 ELSE e END, 6) AS max_x FROM crossing")
@@ -103,16 +108,16 @@ def _artifact(spark, features: DataFrame, **options):
     return open_artifact(spark, path)
 
 
-@query(f"{SPLIT} SELECT row_number, part FROM entry WHERE {WINDOW}")
+@query(f"{SPLIT} SELECT row_number, coalesce(part, -1)::INTEGER AS part FROM entry WHERE {WINDOW}")
 def geo_search_refs(spark, sf):
-    return _artifact(spark, lines(spark, sf), payload="row-ref", policy="split").feature_refs(BOX).select("row_number", "part")
+    return _artifact(spark, lines(spark, sf), payload="row-ref", policy="split").feature_refs(BOX).select("row_number", _part())
 
 
-@query(f"{SPLIT}, d AS (SELECT row_number, coalesce(part, -1) AS p FROM entry WHERE min_x <= 180 AND max_x >= -180 AND min_y <= 30 AND max_y >= -30) SELECT row_number, NULL::INTEGER AS part, count(*) > 0 AS found FROM d GROUP BY row_number")
+@query(f"{SPLIT}, d AS (SELECT row_number, coalesce(part, -1) AS p FROM entry WHERE min_x <= 180 AND max_x >= -180 AND min_y <= 30 AND max_y >= -30) SELECT row_number, (-1)::INTEGER AS part, count(*) > 0 AS found FROM d GROUP BY row_number")
 def geo_search_features(spark, sf):
     """Split features meet a world-wide band in two entries, but are one feature."""
     found = _artifact(spark, lines(spark, sf), policy="split").features(Query("box", (-180.0, -30.0, 180.0, 30.0)))
-    return found.select("row_number", "part", F.lit(True).alias("found"))
+    return found.select("row_number", _part(), F.lit(True).alias("found"))
 
 
 @query(f"{SPLIT} SELECT count(*)::BIGINT AS entries, count(DISTINCT row_number)::BIGINT AS features, count(*) > count(DISTINCT row_number) AS may_duplicate, count(*) FILTER ({WINDOW})::BIGINT AS matched FROM entry")
@@ -122,10 +127,10 @@ def geo_counts(spark, sf):
     return spark.createDataFrame([(m.items, m.features, m.entries_may_duplicate_rows, artifact.count_entries(BOX))], "entries long, features long, may_duplicate boolean, matched long")
 
 
-@query(f"{SPLIT} SELECT row_number, part, 41::BIGINT AS payload_len FROM entry WHERE {WINDOW} ORDER BY row_number, part NULLS FIRST LIMIT 20 OFFSET 10")
+@query(f"{SPLIT} SELECT row_number, coalesce(part, -1)::INTEGER AS part, 41::BIGINT AS payload_len FROM entry WHERE {WINDOW} ORDER BY row_number, entry.part NULLS FIRST LIMIT 20 OFFSET 10")
 def geo_header_page(spark, sf):
     _, page = _artifact(spark, lines(spark, sf), policy="split").header_page(BOX, 10, 20)
-    return page.select("row_number", "part", "payload_len")
+    return page.select("row_number", _part(), "payload_len")
 
 
 @query(f"{PLACES} SELECT item_id AS row_number, name AS feature_id FROM places WHERE lon BETWEEN 100 AND 179 AND lat BETWEEN -30 AND 30 ORDER BY item_id LIMIT 15")
