@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boxes import Box, all_of, box, number
@@ -97,44 +97,30 @@ def triangle_columns(table: str | None = None) -> list[list[Column]]:
     return [[F.col(f"{dot}{corner}{axis}") for axis in "xyz"] for corner in "abc"]
 
 
-def _bound(values: dict[str, Column], body) -> Column:
-    """`body` over named values that are computed once for each row."""
-    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+def with_triangle_t(df: DataFrame, ray: Ray, triangle: Sequence[Sequence[Column]], name: str = "t") -> DataFrame:
+    """`df` with the parameter at which a ray meets a triangle from either side,
+    null if it misses; a determinant within rounding of 0 is a miss.
 
-
-def _named(name: str, vector: Sequence[Column]) -> dict[str, Column]:
-    return {f"{name}{k}": v for k, v in enumerate(vector)}
-
-
-def _vector(row: Column, name: str) -> list[Column]:
-    return [row[f"{name}{k}"] for k in range(3)]
-
-
-def triangle_t(ray: Ray, triangle: Sequence[Sequence[Column]]) -> Column:
-    """Parameter at which a ray meets a triangle from either side, null if it
-    misses; a determinant within rounding of 0 is a miss."""
+    Each step is a projection of its own, so that what later steps use several
+    times is computed once."""
     origin, direction, most = ray.columns()
     a, b, c = triangle
-    edges = _named("one", [q - p for p, q in zip(a, b)]) | _named("two", [q - p for p, q in zip(a, c)])
-    given = edges | _named("s", [p - q for p, q in zip(origin, a)]) | _named("d", direction) | {"most": most}
-
-    def solve(r: Column) -> Column:
-        one, two, s, d = (_vector(r, n) for n in ("one", "two", "s", "d"))
-        crossed = {n: r[n] for n in given} | _named("h", _cross(d, two)) | _named("q", _cross(s, one))
-        return _bound(crossed, scaled)
-
-    def scaled(r: Column) -> Column:
-        one, two, s, d, h, q = (_vector(r, n) for n in ("one", "two", "s", "d", "h", "q"))
-        limit = number(64 * EPSILON) * _size(d) * _size(one) * _size(two)
-        parts = {"det": _dot(one, h), "limit": limit, "u": _dot(s, h), "v": _dot(d, q), "t": _dot(two, q), "most": r["most"]}
-        return _bound(parts, divided)
-
-    def divided(r: Column) -> Column:
-        scale = F.when(F.abs(r["det"]) > r["limit"], r["det"])
-        return _bound({n: r[n] / scale for n in "uvt"} | {"most": r["most"]}, within)
-
-    def within(r: Column) -> Column:
-        u, v, t = r["u"], r["v"], r["t"]
-        return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= r["most"]), t)
 
-    return _bound(given, solve)
+    def step(df: DataFrame, **vectors: Sequence[Column]) -> DataFrame:
+        return df.withColumns({f"__{n}{k}": v for n, vector in vectors.items() for k, v in enumerate(vector)})
+
+    def taken(n: str, size: int = 3) -> list[Column]:
+        return [F.col(f"__{n}{k}") for k in range(size)]
+
+    kept = [F.col(x) for x in df.columns if x != name]
+    df = step(df, one=[q - p for p, q in zip(a, b)], two=[q - p for p, q in zip(a, c)], s=[p - q for p, q in zip(origin, a)], d=direction, most=[most])
+    one, two, s, d = map(taken, ("one", "two", "s", "d"))
+    df = step(df, h=_cross(d, two), q=_cross(s, one))
+    h, q = taken("h"), taken("q")
+    limit = number(64 * EPSILON) * _size(d) * _size(one) * _size(two)
+    df = step(df, r=[_dot(one, h), limit, _dot(s, h), _dot(d, q), _dot(two, q)])
+    det, least, *tops = taken("r", 5)
+    df = step(df, w=[x / F.when(F.abs(det) > least, det) for x in tops])
+    u, v, t = taken("w")
+    inside = (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= F.col("__most0"))
+    return df.select(*kept, F.when(inside, t).alias(name))

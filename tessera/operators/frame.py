@@ -29,7 +29,7 @@ from tessera.functions.boxes import (
     overlaps,
 )
 from tessera.functions.curves import curve_key
-from tessera.functions.rays import Ray, enter_t, triangle_columns, triangle_t
+from tessera.functions.rays import Ray, enter_t, triangle_columns, with_triangle_t
 from tessera.functions.regions import Region
 
 
@@ -229,6 +229,7 @@ class SpatialFrame:
         """For frames of 3D triangles: those near the segment, then the exact test."""
         around = ray.segment_box()
         near = self.df if around is None else self.df.filter(overlaps(self.box, around))
-        met = near.select(self.item_id, triangle_t(ray, triangle_columns()).alias("t")).filter(F.col("t").isNotNull())
-        best = met.agg(F.min(F.struct("t", self.item_id)).alias("m")).filter("m IS NOT NULL")
+        met = with_triangle_t(near, ray, triangle_columns())
+        hit = F.when(F.col("t").isNotNull(), F.struct("t", self.item_id))
+        best = met.agg(F.min(hit).alias("m")).filter("m IS NOT NULL")
         return best.select(f"m.{self.item_id}", "m.t")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import curves, geodesy, single
 from tessera.functions.boxes import box, box_columns, box_names, checked_box, contains, contains_point, distance_squared, gap_squared, overlaps
-from tessera.functions.rays import Ray, enter_t, triangle_columns, triangle_t
+from tessera.functions.rays import Ray, enter_t, triangle_columns, with_triangle_t
 from tessera.functions.regions import BoxRegion, ConvexPolygon, Frustum, Triangle
 from tessera.operators import joins
 from tessera.operators.frame import InvalidBounds, ItemCountMismatch, SpatialFrame
@@ -201,7 +201,7 @@ def test_triangles(spark):
     names = [f"{c}{a}" for c in "abc" for a in "xyz"]
     df = spark.createDataFrame([(i, *map(float, m)) for i, m in enumerate(mesh)], "item_id long, " + ", ".join(f"{n} double" for n in names))
     o, d = np.array([4.3, 4.1, -5.0]), np.array([0.05, 0.02, 1.0])
-    got = {r.item_id: r.t for r in df.withColumn("t", triangle_t(Ray(tuple(o), tuple(d), 40), triangle_columns())).filter("t IS NOT NULL").collect()}
+    got = {r.item_id: r.t for r in with_triangle_t(df, Ray(tuple(o), tuple(d), 40), triangle_columns()).filter("t IS NOT NULL").collect()}
     want = {}
     for i, m in enumerate(mesh.reshape(-1, 3, 3)):
         system = np.stack([m[1] - m[0], m[2] - m[0], -d], axis=1)
