@@ -203,7 +203,7 @@ WITH rest AS (
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN list_has_any(list_transform(range(0, 3), i -> list_aggregate(list_reverse(list_reverse(string_split(host, '.'))[:i + 1]), 'string_agg', '.')), [{keys}]) THEN 'block'
+            WHEN regexp_extract(host, '([^.]*\\.[^.]*\\.[^.]*)$', 1) IN ({keys}) THEN 'block'
             ELSE 'allow' END AS verdict
 FROM named
 """
