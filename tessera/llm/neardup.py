@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .storage import materialise
 from .textblocks import Block, mix, seeded, shingles, text_blocks
+from .workers import tidy
 
 SHINGLE_WORDS = 5
 K = 64
@@ -103,7 +104,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(prints, FINGERPRINTS)
+    return rows.mapInArrow(tidy(prints), FINGERPRINTS)
 
 
 def match_threshold(percent: int) -> int:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 from .tokens import encoder, tokenizer_path
+from .workers import tidy
 
 CAPACITY = 4096
 BUCKET_ROWS = 50_000
@@ -106,7 +107,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(cut), PIECES + ", ids binary" * with_ids)
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -145,7 +146,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered = bucketed.withColumn("__row", F.row_number().over(order)).join(firsts, ["length", "__bucket"])
     ranked = numbered.select(*pieces.columns, (F.col("__first") + F.col("__row") - 1).cast("long").alias("__rank"))
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{names}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{names}, sequence_id long, offset long")
 
 
 def pack_documents(

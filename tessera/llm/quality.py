@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textblocks import Block, mix, repeated, seeded, text_blocks, windows
+from .workers import tidy
 
 BUCKET_BITS = 16
 NGRAM_BYTES = 4
@@ -110,7 +111,7 @@ def ngram_counts(docs: DataFrame, trusted: frozenset) -> DataFrame:
             [pa.array(seen), pa.array(raw[seen]), pa.array(aim[seen])], ["bucket", "raw", "trusted"]
         )
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, trusted long")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(count), "bucket long, raw long, trusted long")
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
@@ -172,7 +173,7 @@ def quality_rules(
         [docs.schema[c] for c in columns] + [T.StructField(k, kinds.get(k, T.LongType())) for k in RESULTS]
     )
     needed = list(dict.fromkeys([*columns, "text"]))
-    return docs.select(*needed).mapInArrow(judge, schema)
+    return docs.select(*needed).mapInArrow(tidy(judge), schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
