@@ -121,6 +121,23 @@ def test_quality_scores(spark):
         assert r.kept == (r.doc_id < 1000)
 
 
+def test_quality_of_frequent_and_barely_labelled_text(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for lang, letters in (("en", "abcdefgh"), ("de", "qrstuvwx"), (None, "ijklmnop")):
+        vocabulary = ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(300)]
+        rows += [(len(rows) + i, " ".join(rng.choice(vocabulary, 120)), lang) for i in range(100)]
+    noise = [(1000 + i, " ".join(w + "###" for w in rows[i][1].split()), "en") for i in range(10)]
+    copies = [(2000 + i, rows[90][1], "en") for i in range(155)]  # a third of all rows, none labelled
+    # Half of English is labelled, a twelfth of German, and nothing of the third language.
+    labels = spark.createDataFrame([(i, 1, 0) for i in (*range(50), *range(100, 108))], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(spark.createDataFrame(rows + noise + copies, "doc_id long, text string, lang string").repartition(3), labels).collect()
+    assert {r.doc_id for r in got if not r.kept} == {r[0] for r in noise}
+    plain = quality.quality_rules(spark.createDataFrame(rows + noise, "doc_id long, text string, lang string"), labels).collect()
+    score = {r.doc_id: r.score for r in plain}
+    assert all(r.score == (score[r.doc_id] if r.doc_id < 2000 else score[90]) for r in got)
+
+
 def test_line_dedup(spark, docs):
     rows = docs.collect()
     key = lambda x: x.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
