@@ -4,14 +4,16 @@ A page is cut into blocks of text, each with the path of tags from the root to
 it. Lengths and punctuation marks are summed for each path and divided by its
 number of blocks, both ratios are smoothed over the page's blocks in order and
 fused with the plain ones to one score, and paths that reach a share of the
-scores' spread and mean are content paths. The article is the innermost article or main element with most
-content text, or where there is none, the lowest element over all content
-blocks, taken at its content paths and headings.
+scores' spread and mean are content paths. Their blocks choose the container:
+the article elements that hold them, or else the main elements, where at least
+half of the content text is inside, and otherwise the lowest sectioning element
+over all of them.
 
 Elements that aren't part of an article by their kind (navigation, page
 headers, footers, asides, forms, scripts, styles) or by their class, id or role
 (menus, adverts, notices, sidebars, reader comments) count in no ratio. What
-lies in the article otherwise is kept whole, however short.
+lies in the container otherwise is kept whole, however short: lists, quotes,
+tables, preformatted text.
 
 Defined cases: a null or empty page has an empty text, and so has a page
 without content; broken markup is read as browsers do in the plain cases (an
@@ -64,6 +66,10 @@ NOISE_WORDS = frozenset(
     "notification pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Elements that can be the container of a page without article and main, and
+#: those of them that are no container if they are a block of text themselves.
+CONTAINERS = frozenset("body center div html section td th".split()) | {""}
+CELLS = frozenset({"td", "th"})
 #: Standard deviation of the smoothing kernel, in blocks, and the shares of the
 #: scores' spread and mean that a content path reaches.
 SIGMA = 1.0
@@ -73,10 +79,10 @@ _KERNEL = [exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-2, 3)]
 
 
 class Element:
-    __slots__ = ("tag", "parent", "noise", "path", "text")
+    __slots__ = ("tag", "parent", "noise", "path")
 
     def __init__(self, tag: str, parent: Element | None, noise: bool):
-        self.tag, self.parent, self.noise, self.text = tag, parent, noise, 0
+        self.tag, self.parent, self.noise = tag, parent, noise
         self.path = f"{parent.path}/{tag}" if parent else tag
 
     def up(self):
@@ -191,29 +197,33 @@ def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
     return {p for p, s in best.items() if s >= least}
 
 
+def content_containers(content: list[tuple[Element, str]]) -> set[Element]:
+    """The elements that are kept whole, given the blocks of content paths."""
+    total = sum(len(text) for _, text in content)
+    for kind in ("article", "main"):
+        holders, inside = set(), 0
+        for e, text in content:
+            own = [x for x in e.up() if x.tag == kind]
+            if own:
+                holders.add(own[-1])
+                inside += len(text)
+        if 2 * inside >= total and holders:
+            return holders
+    shared = list(content[0][0].up())
+    for e in {e for e, _ in content}:
+        own = set(e.up())
+        shared = [x for x in shared if x in own]
+    blocks = {e for e, _ in content}
+    return {next(x for x in shared if x.tag in CONTAINERS and not (x.tag in CELLS and x in blocks))}
+
+
 def main_text(page: str | None) -> str:
     blocks = text_blocks_of(page or "")
     if not blocks:
         return ""
     paths = content_paths(blocks)
-    content = [e for e, _ in blocks if e.path in paths]
-    for e, text in blocks:
-        if e.path in paths:
-            for x in e.up():
-                x.text += len(text)
-    for kind in ("article", "main"):
-        holders = {x for e in content for x in e.up() if x.tag == kind}
-        if holders:
-            most = max(x.text for x in holders)
-            inner = max((x for x in holders if x.text == most), key=lambda x: x.path.count("/"))
-            return "\n".join(text for e, text in blocks if inner in e.up())
-    shared = [id(x) for x in content[0].up()]
-    for e in content[1:]:
-        own = {id(x) for x in e.up()}
-        shared = [x for x in shared if x in own]
-    return "\n".join(
-        text for e, text in blocks if e.path in paths or e.tag in HEADINGS and any(id(x) == shared[0] for x in e.up())
-    )
+    holders = content_containers([(e, text) for e, text in blocks if e.path in paths])
+    return "\n".join(text for e, text in blocks if not holders.isdisjoint(e.up()))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -82,6 +82,22 @@ def test_main_text_of_a_bare_layout():
     assert htmlextract.main_text(page) == "\n".join(f"Sentence {i}, with words, and marks." for i in range(9))
 
 
+def test_main_text_keeps_the_container_whole():
+    long = [f"<p>{f'Sentence {i}, with words, and marks. ' * 8}</p>" for i in range(6)]
+    short = ["<ul><li>one<li>two</ul>", "<blockquote>Said so.</blockquote>", "<table><tr><td>a<td>b</table>", "<pre>x = 1</pre>", "<h2>Part</h2>"]
+    plain = lambda *parts: "\n".join(t for p in parts for _, t in htmlextract.text_blocks_of(p))
+    frame = "<body><div><a href=x>Home</a></div>{}<div>Contact</div>"
+    body = [x for pair in zip(long, short) for x in pair] + long[5:] + short[:1]
+    assert htmlextract.main_text(frame.format(f"<div>{''.join(body)}</div>")) == plain(*body)
+    assert htmlextract.main_text(frame.format(f"<div>{long[0]}{short[0]}</div>")) == plain(long[0], short[0])
+    items = f"<ul>{''.join(p.replace('p>', 'li>') for p in long)}</ul>"  # the list holds the content
+    assert htmlextract.main_text(frame.format(f"<div><p>Of these:</p>{items}</div>")) == plain("<p>Of these:</p>", items)
+    articles = "".join(f"<article><h2>No. {i}</h2>{p}{short[i % 4]}</article>" for i, p in enumerate(long))
+    assert htmlextract.main_text(frame.format(articles)) == plain(articles)
+    teaser = "<article><div><p>Soon.</p></div></article>"  # scores choose, not the tag
+    assert htmlextract.main_text(frame.format(f"{teaser}<div>{''.join(body)}</div>")) == plain(*body)
+
+
 def png():
     chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
