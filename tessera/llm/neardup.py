@@ -224,22 +224,23 @@ def confirm(size: int, percent: int, threshold: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id,
-    text), linked where 100 * intersection >= percent * union."""
+def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class and first for each row of `docs`;
+    `first` is the smallest (no_id, doc_id, text_hash) of its component, null
+    for a text without words."""
     threshold = match_threshold(percent)
     prints = materialise(fingerprints(docs, size), "prints")
     classes = materialise(
         prints.filter("n_shingles > 0")
         .groupBy("class")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"))
         .withColumn("cid", F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long")),
         "classes",
     )
     groups = candidate_groups(posted_prefixes(classes.select("cid", "signature"), threshold))
     wanted = materialise(
         classes.join(groups, "cid").select(
-            "class", F.col("rep.doc_id").alias("__id"), F.col("rep.text_hash").alias("__hash"), "group", "n_blocks", "signature"
+            "class", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), "group", "n_blocks", "signature"
         ),
         "candidates",
     )
@@ -255,21 +256,39 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 8
     tasks = paired.select("class", "text", "signature", "block", "group", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     links = tasks.groupBy("group", "bi", "bj").applyInArrow(confirm(size, percent, threshold), "a binary, b binary")
     linked = components(materialise(links, "links"))
-    firsts = linked.join(classes.select(F.col("class").alias("node"), "first_id"), "node")
-    roots = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    reached = firsts.join(roots, "root").select(F.col("node").alias("class"), "component_id")
-    of_class = classes.select("class", "first_id").join(reached, "class", "left").select(
-        "class", F.coalesce("component_id", "first_id").alias("component_id")
-    )
-    whole = prints.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
-    root = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return whole.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+    firsts = linked.join(classes.select(F.col("class").alias("node"), "first"), "node")
+    roots = firsts.groupBy("root").agg(F.min("first").alias("least"))
+    reached = firsts.join(roots, "root").select(F.col("node").alias("class"), "least")
+    of_class = classes.select("class", "first").join(reached, "class", "left").select("class", F.coalesce("least", "first").alias("first"))
+    return prints.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, "class", "left")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` with one document of each component: the smallest id."""
-    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id,
+    text), linked where 100 * intersection >= percent * union."""
+    root = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return linked_rows(docs, size, percent).select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
+    """The rows of `docs` with one row of each component, and every row without
+    words. The row is one of the smallest id (rows without id come last), of its
+    texts the one with the smallest hash; rows equal in both differ in other
+    columns at most, and a hash of the whole row decides."""
+    won = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    rows = linked_rows(docs, size, percent).filter("class IS NOT NULL")
+    rows = materialise(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), won.alias("won")), "verdicts")
+    gone = rows.filter("NOT won").select("__id", "__hash").distinct()
+    repeated = rows.filter("won").groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id", "__hash")
+    repeated = materialise(repeated, "repeated")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    several = repeated.limit(BROADCAST_ROWS + 1).count()
+    if not several:
+        return docs.join(gone, same, "left_anti")
+    row = F.struct(*docs.columns)
+    copies = docs.join(F.broadcast(repeated) if several <= BROADCAST_ROWS else repeated, same)
+    single = copies.groupBy("__id", "__hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return docs.join(gone.union(repeated), same, "left_anti").union(single)
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

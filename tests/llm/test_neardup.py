@@ -86,6 +86,22 @@ def test_odd_rows(spark):
     assert sorted(neardup.drop_near_duplicates(docs).collect()) == [(0, "A b c d e", 4), (2, None, 5)]
 
 
+def test_drop_decides_by_row(spark):
+    text, near = " ".join(f"w{i}" for i in range(99)), " ".join(f"w{i}" for i in range(100))
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, near, 0), (4, text, 0)]  # the row without id goes, others without id stay
+    rows += [(None, own[0], 0), (None, "", 0), (None, "", 0), (None, None, 0)]
+    rows += [(9, text, 0), (9, own[1], 0)]  # the same id with another text stays
+    rows += [(None, own[2], i) for i in range(3)] + [(7, own[3], i) for i in range(4)] + [(None, own[4], 1), (8, own[4], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    got = neardup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    want = [(4, text), (None, own[0]), (None, ""), (None, ""), (None, None), (9, own[1]), (None, own[2]), (7, own[3]), (8, own[4])]
+    found = got.collect()
+    assert sorted(map(str, [(r.doc_id, r.text) for r in found])) == sorted(map(str, want))
+    assert sorted(map(str, neardup.drop_near_duplicates(docs.repartition(2)).collect())) == sorted(map(str, found))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 60), (60, 70), (200, 201)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
