@@ -5,14 +5,16 @@ that has them; lines whose key is found in too many documents go, and each
 document is put together again from the positions that stay.
 
 Text moves once at most. Only hashes and positions travel to be counted and
-matched; counts are combined before the shuffle, so a line that every document
-has costs one row a task, and the match with the frequent keys is an equi-join
+matched; pairs of line and document are made distinct first and counts are
+combined before their shuffle, so a line that every document has costs one row
+a task there, and the match with the frequent keys is an equi-join
 whose hot keys adaptive execution splits (or whose small side it broadcasts
 after measuring it).
 
 Defined cases: a null or empty text is one empty line; an empty key never
-counts while `min_key_chars` is 1 or more; each row is a document of its own
-for the count, also where rows repeat; a document whose lines all go keeps an
+counts while `min_key_chars` is 1 or more; rows of the same doc_id are one
+document for the count and rows without one aren't counted, as in the SQL, but
+lose frequent lines like all others; a document whose lines all go keeps an
 empty text; an empty table gives an empty table. Clashing columns named like
 the statistics are replaced by them.
 """
@@ -37,14 +39,14 @@ def _hashes(key: Column) -> list[Column]:
 
 
 def frequent_lines(lines: DataFrame, min_docs: int, min_key_chars: int) -> DataFrame:
-    """Hashes of the keys that `min_docs` or more rows of `lines` (an array
-    column `__lines`) have."""
-    keys = lines.select(F.explode(F.array_distinct(F.transform("__lines", line_key))).alias("__key"))
+    """Hashes of the keys that `min_docs` or more documents of `lines` (doc_id and
+    an array column `__lines`) have."""
+    keys = lines.select("doc_id", F.explode(F.array_distinct(F.transform("__lines", line_key))).alias("__key"))
     return (
         keys.filter(F.length("__key") >= min_key_chars)
-        .select(*_hashes(F.col("__key")))
+        .select("doc_id", *_hashes(F.col("__key")))
         .groupBy("__h1", "__h2")
-        .agg(F.count(F.lit(1)).alias("__docs"))
+        .agg(F.count_distinct("doc_id").alias("__docs"))
         .filter(F.col("__docs") >= min_docs)
         .select("__h1", "__h2")
     )

@@ -154,6 +154,12 @@ def test_line_dedup(spark, docs):
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_counts_documents(spark):
+    rows = [(1, "mine\nall")] * 10 + [(i, f"own {i}\nall") for i in range(2, 11)] + [(None, f"none\nall {i}") for i in range(10)] + [(None, "all")]
+    got = Counter(linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 10).collect())
+    assert got == Counter((i, t.removesuffix("\nall") if t != "all" else "") for i, t in rows)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name):
     library, own = Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
