@@ -44,6 +44,15 @@ def test_url_filter(spark, bits):
     assert urlfilter.filter_urls(pages, names.limit(0)).filter("verdict = 'block' AND rule IS NULL").count() == 0
 
 
+def test_url_filter_reads_a_list(spark, tmp_path):
+    urls = ["http://a.d1.org/", "http://d2.org/", "http://ads-track.example.org/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    verdicts = lambda: [r.verdict for r in urlfilter.op5_url_filter(spark, f"file://{tmp_path}").orderBy("page_id").collect()]
+    assert verdicts() == ["allow", "allow", "block"]
+    spark.createDataFrame([("D1.org",), (None,)], "key string").write.parquet(f"file://{tmp_path}/blocked_domains.parquet")
+    assert verdicts() == ["block", "allow", "allow"]
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 4 == 0).alias("listed")).cache()
     cascade = urlfilter.build_cascade(universe)
