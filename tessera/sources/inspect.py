@@ -93,7 +93,7 @@ def validate(
     if chosen.edges != "planar":
         add("warning", "geography_coordinate_aabb", "edges on a sphere are indexed by their coordinates", chosen.name)
     if chosen.native:
-        add("info", "missing_native_geo_stats", "row groups carry no geospatial statistics", chosen.name)
+        add("info", "missing_native_geo_stats", "geospatial statistics of row groups aren't read", chosen.name)
     if payload in ("row-wkb", "feature-json") and chosen.encoding != "WKB":
         add("error", "cannot_emit_payload", f"{payload} needs WKB, the column is {chosen.encoding}", chosen.name)
     names = {n for n, _ in discovery.schema}
