@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import materialise
-from .textblocks import Block, mix, repeated, seeded, text_blocks, windows
+from .textblocks import Block, exact_runs, repeated, text_blocks
 from .workers import tidy
 
 BUCKET_BITS = 16
@@ -56,16 +56,13 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
 def base_counts(block: Block) -> dict[str, np.ndarray]:
-    words = block.word_hashes()
+    """Exact counts: words and lines are compared as strings, not by hashes."""
     of = block.of_word()
-    grams, bounds = windows(words, block.bounds, 3)
-    text_of = np.repeat(np.arange(block.n), np.diff(bounds))
-    again = np.flatnonzero(repeated(mix(grams ^ seeded(block.n, 5)[text_of])))
-    covered = np.zeros(len(words), bool)
-    if len(again):
-        at = again - bounds[text_of[again]] + block.bounds[text_of[again]]
-        for k in range(3):
-            covered[at + k] = True
+    first, key = exact_runs(block.words()[1], of, 3)
+    again = first[repeated(key)]
+    covered = np.zeros(len(of), bool)
+    for k in range(3):
+        covered[again + k] = True
     return {
         "n_words": block.n_words,
         "word_chars": block.count(block.solid & ((block.data & 0xC0) != 0x80)),
@@ -76,12 +73,11 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
 
 
 def _duplicate_lines(block: Block) -> np.ndarray:
-    from .textblocks import span_hashes
-
     starts, ends, of = block.lines()
     worded = np.searchsorted(block.starts, ends) > np.searchsorted(block.starts, starts)
     starts, ends, of = starts[worded], ends[worded], of[worded]
-    keys = mix(span_hashes(block.data, starts, ends) ^ seeded(block.n, 7)[of])
+    lines = block.line_ids(starts, ends)
+    keys = of * (len(lines) + 1) + lines
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     return np.bincount(of[order[1:][same]], minlength=block.n)

@@ -1,24 +1,24 @@
-"""Vectorised views of text columns: words, lines and their 64-bit hashes.
+"""Vectorised views of text columns: words, lines, runs of words.
 
 Arrow string arrays are cut into blocks of whole texts with a bounded number
 of bytes, and each block is handled as one byte array with numpy. White space
-is ASCII only, so bytes suffice to find words and lines in UTF-8.
+is ASCII only, so bytes suffice to find words and lines in UTF-8. Within a block
+words and lines are told apart as strings, through Arrow's dictionaries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 BLOCK_BYTES = 2 << 20
-_CHUNK = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,34 +36,40 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD + np.uint64(seed))
 
 
-_BYTE = {False: seeded(256, 11)}
-_BYTE[True] = _BYTE[False].copy()
-_BYTE[True][65:91] = _BYTE[True][97:123]
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: The lowest 0 to 8 bytes of a little-endian word.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 256
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct byte strings among the ranges [start, end), and which of them
+    each range is. Ranges are in order, don't overlap, and are where `inside` is true."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    kind, width = (pa.binary(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    buffers = [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(np.ascontiguousarray(data[inside]))]
+    found = pa.Array.from_buffers(kind, len(starts), buffers).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end): eight bytes at a time are
+    taken in and mixed; ranges above LONG bytes go to xxhash."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    own = np.flatnonzero(size <= LONG)
+    at, left = starts[own], size[own]
     with np.errstate(over="ignore"):
-        return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, base, np.uint64)))) for base in (_ODD, _ODD_INVERSE))
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """Hashes of the byte ranges [start, end), which must not overlap and must
-    be in order. They are polynomials modulo 2**64, taken from running sums."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            base = starts[i]
-            j = max(i + 1, int(np.searchsorted(ends, base + _CHUNK, "right")))
-            size = int(ends[j - 1] - base)
-            up, down = _powers(_CHUNK) if size <= _CHUNK else _powers.__wrapped__(size)
-            sums = np.empty(size + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[fold_case][data[base : base + size]] * up[:size], out=sums[1:])
-            a, b = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
-            i = j
+        while len(own):
+            lane = lanes[at] & _LOW_BYTES[np.minimum(left, 8)]
+            out[own] = mix((out[own] ^ lane) * _ODD)
+            more = np.flatnonzero(left > 8)
+            own, at, left = own[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG):
+        out[k] = xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
     return out
 
 
@@ -88,8 +94,30 @@ class Block:
         self.bounds = np.searchsorted(self.starts, offsets)
         self.n_words = np.diff(self.bounds)
 
+    def words(self, fold_case: bool = False) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, A-Z lower-cased if asked, and the one at each place."""
+        return encode_spans(_FOLD[self.data] if fold_case else self.data, self.starts, self.ends, self.solid)
+
     def word_hashes(self, fold_case: bool = False) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, fold_case)
+        return span_hashes(_FOLD[self.data] if fold_case else self.data, self.starts, self.ends)
+
+    def normal_digests(self) -> list[bytes | None]:
+        """SHA-256 of each text's words, A-Z lower-cased, one space between
+        them; none for a text without words."""
+        kept = self.solid.copy()
+        last = np.zeros(len(self.starts), bool)
+        last[self.bounds[1:][self.n_words > 0] - 1] = True
+        kept[self.ends[~last]] = True
+        data = np.where(self.solid, _FOLD[self.data], np.uint8(32))[kept].tobytes()
+        at = np.concatenate(([0], np.cumsum(kept)))[self.offsets].tolist()
+        return [sha256(data[a:b]).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
+
+    def line_ids(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Equal numbers for equal lines, given as ranges in order."""
+        edges = np.zeros(len(self.data) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, ends, -1)
+        return encode_spans(self.data, starts, ends, np.cumsum(edges[:-1]) > 0)[1]
 
     def of_word(self) -> np.ndarray:
         """The text that each word belongs to."""
@@ -114,23 +142,40 @@ class Block:
         return starts, ends, of
 
 
+def exact_runs(ids: np.ndarray, of: np.ndarray, size: int, apart: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of `size` ids within one text, and a number that
+    equal runs share with no other run; `apart` keeps runs of different texts apart."""
+    total = max(len(ids) - size + 1, 0)
+    first = np.flatnonzero(of[:total] == of[size - 1 : size - 1 + total])
+    key, bound = of[first] * apart, int(of[-1]) * apart + 1 if len(of) else 1
+    wide = int(ids.max()) + 1 if len(ids) else 1
+    for k in range(size):
+        if bound * wide >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+            bound = len(key) + 1
+        key, bound = key * wide + ids[first + k], bound * wide
+    return first, key
+
+
 def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `size` words within each text, and bounds of each
-    text's runs. A text with fewer words, but one at least, has its whole
-    sequence as its only run if it is short of `size`; see `whole_short`."""
-    n = np.diff(bounds)
-    runs = np.maximum(n - size + 1, 0)
+    text's runs."""
+    runs = np.maximum(np.diff(bounds) - size + 1, 0)
     out_bounds = np.concatenate(([0], np.cumsum(runs)))
-    if not len(words) or not out_bounds[-1]:
+    if not out_bounds[-1]:
         return np.zeros(0, np.uint64), out_bounds
-    with np.errstate(over="ignore"):
-        total = len(words) - size + 1
-        h = words[:total].copy()
-        for k in range(1, size):
-            h *= _ODD
-            h += words[k : k + total]
+    total = len(words) - size + 1
     first = np.repeat(bounds[:-1] - out_bounds[:-1], runs) + np.arange(out_bounds[-1])
-    return mix(h[first]), out_bounds
+    return _chain([words[k : k + total] for k in range(size)])[first], out_bounds
+
+
+def _chain(parts: list) -> np.ndarray:
+    """Hash of a sequence of hashes, mixed anew at every step."""
+    with np.errstate(over="ignore"):
+        h = mix(np.asarray(parts[0], np.uint64) + np.uint64(len(parts)))
+        for part in parts[1:]:
+            h = mix(h * _ODD + part)
+    return h
 
 
 def shingles(block: Block, size: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +187,11 @@ def shingles(block: Block, size: int, fold_case: bool = True) -> tuple[np.ndarra
     if not len(short):
         return runs, bounds
     extra = np.empty(len(short), np.uint64)
-    with np.errstate(over="ignore"):
-        for j, k in enumerate(short):
-            h = np.uint64(block.n_words[k])
-            for w in words[block.bounds[k] : block.bounds[k + 1]]:
-                h = h * _ODD + w
-            extra[j] = h
-    return np.insert(runs, bounds[short], mix(extra)), bounds + np.concatenate(([0], np.cumsum(np.isin(np.arange(block.n), short))))
+    for n in range(1, size):
+        own = block.n_words[short] == n
+        if own.any():
+            extra[own] = _chain([words[block.bounds[short[own]] + k] for k in range(n)])
+    return np.insert(runs, bounds[short], extra), bounds + np.concatenate(([0], np.cumsum(np.isin(np.arange(block.n), short))))
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
