@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import delete, fresh_folder
+from .storage import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest
     node that can be reached.
 
@@ -16,15 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels one step, so the distance that a label travels doubles. Rounds are
     written to the shared folder. Minima are combined before the shuffle and
     adaptive execution splits the joins of a hub, which has one row of its own
-    on one side.
+    on one side. The result lies in `scratch`, if given.
     """
-    spark = edges.sparkSession
-    paths = []
-
-    def stored(df: DataFrame, tag: str) -> DataFrame:
-        paths.append(fresh_folder(spark, tag))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
+    own = Scratch(edges.sparkSession)
+    stored = own.stored
 
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter(F.col("a") != F.col("b")).distinct(), "edges")
@@ -39,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         changed = new.filter(F.col("root") != F.col("old")).limit(1).count()
         labels = new.select("node", "root")
         if not changed:
-            for p in paths[:-1]:
-                delete(spark, p)
+            own.clear(keep=1)
+            if scratch is not None:
+                scratch.paths += own.paths
             return labels

@@ -1,31 +1,41 @@
 """Near-duplicate documents by an inverted join of MinHash coordinates.
 
-1. Each text gives its set of word shingles, a 128-bit digest of the set and a
-   signature of K MinHash coordinates. Texts with equal sets are one class and
-   go on as one row, so exact copies never meet each other again.
+1. Each text gives the SHA-256 of its words (A-Z lower-cased, one space between
+   them) and a signature of K MinHash coordinates of its set of word shingles.
+   Texts of equal words are one class and go on as one row, so exact copies
+   never meet each other again.
 2. Classes are posted under their coordinate-value pairs. A pair of classes
    that is similar enough collides in at least T of the K coordinates. Values
    that no other class has can't collide: they are skipped, and so is a class
-   that has fewer than T values left.
-3. Of the c values left to a class, two partners must share one among the
-   first c - T + 1, rarest first (any common order of the values will do), so
-   only these prefixes are posted, and text that thousands share is posted only
-   by what consists of little else.
-4. Posting lists are merged to candidate groups: connected components of stars
-   (member, smallest member), never of pairs. Collisions are counted within a
-   group, pairs with T or more are retained and confirmed on their full sets. A
-   group beyond BLOCK classes is compared in block pairs, each a task of bounded
-   size; every task returns a forest of its links, so links never number more
-   than the rows read.
-5. Components of the links give each document the smallest id it can reach.
+   that has fewer than T values left. Of the c values left to a class, two
+   partners must share one among the first c - T + 1, rarest first (any common
+   order of the values will do), so only these prefixes are posted, and text
+   that thousands share is posted only by what consists of little else.
+3. Posting lists are merged to pairs, collisions are counted over all
+   coordinates, and pairs with T or more are retained; only for them texts
+   move, and their sets are compared word for word. Pairs come in three rounds,
+   each skipping what the links so far have joined already:
+   a. every member with the heads of its lists. A list's head is the class with
+      the most collisions in the corpus (the sum of its values' frequencies),
+      which in a group of copies is what they were copied from;
+   b. in each list, members outside its largest component (`probes`) with all
+      others; of a class's retained pairs with a component, the one of most
+      collisions is compared;
+   c. the rest of those pairs, as far as they still lie in two components.
+   A list of one component makes no pairs, so a hot group costs its size once
+   its members are linked, and n times m for m members that aren't.
+4. Components of the links give each document the smallest id it can reach.
 
 T is the largest number that a pair just at the threshold misses with a
 probability below 1e-6 (binomial tail): 39 of K = 64 for a similarity of 0.85.
+Classes are posted by 64 bits of their digest; two that share them (of n classes
+any two do with a chance of n * n / 2**65) are compared as the classes they are.
 
 Defined cases: shingles are of `size` words, a text with fewer words is its
 only shingle, a text without words is linked with nothing and stays; repeated
 rows fall in one class; rows without id can't be a component's id unless all of
-its rows lack one; an empty table gives an empty table.
+its rows lack one; an empty table gives an empty table. Very long texts are
+compared in blocks of bounded bytes, each with its partner.
 """
 
 from __future__ import annotations
@@ -38,14 +48,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import materialise
-from .textblocks import Block, mix, seeded, shingles, text_blocks
+from .storage import Scratch, materialise
+from .textblocks import Block, exact_runs, seeded, shingles, text_blocks
 from .workers import tidy
 
 SHINGLE_WORDS = 5
 K = 64
 MISS = 1e-6
-BLOCK = 192
+#: Probes of a list that one task compares with eight times as many of its members.
+BLOCK = 512
+#: Partners of a head that share one copy of its text.
+SHARE = 1000
 #: Candidates (about 100 bytes each) are broadcast to the texts up to this
 #: number; beyond it, texts and candidates are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -74,17 +87,6 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """16 bytes for each text; the order of its shingles doesn't matter."""
-    full = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, 2), np.uint64)
-    if len(full):
-        with np.errstate(over="ignore"):
-            for k in range(2):
-                out[full, k] = np.add.reduceat(mix(sets ^ np.uint64(977 + k)), bounds[:-1][full])
-    return out
-
-
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     def prints(batches):
         for batch in batches:
@@ -92,13 +94,12 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             for i, j, block in text_blocks(texts):
                 sets, bounds = shingle_sets(block, size)
                 n = np.diff(bounds)
-                keys = class_digests(sets, bounds)
                 flat = pa.array(signatures(sets, bounds).ravel())
                 columns = [
                     batch.column("doc_id").slice(i, j - i),
                     batch.column("text_hash").slice(i, j - i),
                     pa.array(n),
-                    pa.array([k.tobytes() if m else None for k, m in zip(keys, n)], pa.binary()),
+                    pa.array(block.normal_digests(), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * K), flat),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "signature"])
@@ -117,152 +118,220 @@ def match_threshold(percent: int) -> int:
     return K
 
 
-def posted_prefixes(classes: DataFrame, threshold: int) -> DataFrame:
-    """(cid, token): the coordinate-value pairs that each class is posted under."""
+def posted_prefixes(classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(cid, token, weight): the coordinate-value pairs that each class is
+    posted under, and its collisions with all other classes."""
     tokens = classes.select("cid", F.posexplode("signature").alias("k", "v")).select(
         "cid", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
     )
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
-    mine = tokens.join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("held"))
+    shared = scratch.stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "shared")
+    held = F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("held")
+    mine = tokens.join(shared, "token").groupBy("cid").agg(held, F.sum("freq").alias("weight"))
     prefix = F.slice("held", 1, F.size("held") - threshold + 1)
-    return mine.filter(F.size("held") >= threshold).select("cid", F.explode(prefix).alias("x")).select("cid", "x.token")
-
-
-def candidate_groups(posted: DataFrame) -> DataFrame:
-    """(cid, group, n_blocks) of the classes that share a posting list with
-    another, directly or through others."""
-    posted = materialise(posted, "posted")
-    heads = posted.groupBy("token").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Heads are few: a member is tied to its smallest head, and so are its other heads.
-    tied = posted.join(heads, "token").groupBy("cid").agg(F.collect_set("head").alias("heads"))
-    least = F.array_min("heads")
-    ties = tied.select("cid", least.alias("b"), F.explode("heads").alias("head")).select(
-        F.when(F.col("head") == F.col("b"), F.col("cid")).otherwise(F.col("head")).alias("a"), "b"
+    posted = mine.filter(F.size("held") >= threshold).select("cid", "weight", F.explode(prefix).alias("x"))
+    return posted.select("cid", "x.token", "weight")
+
+
+def retained(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) of `pairs` that collide in `threshold` coordinates or more."""
+    one = classes.select(F.col("cid").alias("a"), F.col("signature").alias("sa"))
+    two = classes.select(F.col("cid").alias("b"), F.col("signature").alias("sb"))
+    hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    return pairs.join(two, "b").join(one, "a").filter(hits >= threshold).select("a", "b")
+
+
+def head_pairs(posted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (head, member) of all lists of two classes or more."""
+    heads = posted.groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"), F.count(F.lit(1)).alias("n"))
+    heads = scratch.stored(heads.filter("n > 1").select("token", "a"), "heads")
+    return posted.join(heads, "token").filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+
+
+def probe_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b, hits, lb): retained pairs of two components within the
+    lists that have several, b's component being lb. A list is dealt in blocks of
+    BLOCK probes and eight times as many members."""
+    named = posted.select("cid", "token").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    named = scratch.stored(named.select("token", "cid", F.coalesce("root", "cid").alias("label")), "named")
+    sizes = scratch.stored(named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    lists = sizes.groupBy("token").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")
     )
-    member = components(ties.filter("a <> b").distinct()).select(F.col("node").alias("cid"), F.col("root").alias("group"))
-    sizes = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    return member.join(sizes, "group").select("cid", "group", "n_blocks")
-
-
-def _retained(signature: np.ndarray, threshold: int) -> np.ndarray:
-    """Pairs that collide in `threshold` coordinates or more."""
-    hits = np.zeros((len(signature),) * 2, np.uint8)
-    for column in signature.T:
-        hits += column[:, None] == column[None, :]
-    return hits >= threshold
-
-
-def _intersections(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sizes of all pairwise intersections, as products of a 0/1 matrix taken
-    in slices of shingles. Shingles of one text only are left out."""
-    n = len(bounds) - 1
-    of = np.repeat(np.arange(n), np.diff(bounds))
-    order = np.argsort(sets, kind="stable")
-    ordered, of = sets[order], of[order]
-    first = np.append(True, ordered[1:] != ordered[:-1])
-    feature = np.cumsum(first) - 1
-    common = np.bincount(feature)[feature] > 1
-    feature, of = feature[common], of[common]
-    if len(feature):
-        feature = np.cumsum(np.append(True, feature[1:] != feature[:-1])) - 1
-    out = np.zeros((n, n), np.int64)
-    width = 8192
-    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, width):
-        a, b = np.searchsorted(feature, [low, low + width])
-        part = np.zeros((n, width), np.float32)
-        part[of[a:b], feature[a:b] - low] = 1
-        out += (part @ part.T).astype(np.int64)
-    return out
-
-
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    left, found = set(range(len(linked))), []
-    while left:
-        head = min(left)
-        left.discard(head)
-        queue = [head]
-        while queue:
-            near = [x for x in np.flatnonzero(linked[queue.pop()]).tolist() if x in left]
-            left.difference_update(near)
-            queue += near
-            found += [(head, x) for x in near]
+    blocks = {"parts": F.ceil(F.col("others") / BLOCK).cast("int"), "blocks": F.ceil(F.col("n") / (8 * BLOCK)).cast("int")}
+    lists = scratch.stored(lists.filter("others > 0").withColumns(blocks).drop("n", "others"), "lists")
+    signed = classes.select("cid", "signature")
+    members = scratch.stored(named.join(lists, "token").join(signed, "cid"), "members")
+    at = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["token", "part", "block", "probe", "cid", "label", (F.col("label") == F.col("main")).alias("inside"), "signature"]
+    probes = members.filter("label <> main").withColumns({"probe": F.lit(True), "part": at}).withColumn("block", every("blocks"))
+    others = members.withColumns({"probe": F.lit(False), "block": block}).withColumn("part", every("parts"))
+    dealt = probes.select(*columns).union(others.select(*columns)).repartition("token", "part", "block")
+    dealt = dealt.sortWithinPartitions("token", "part", "block")
+    return dealt.mapInArrow(tidy(_count_collisions(threshold)), "a long, b long, hits int, lb long").distinct()
+
+
+def _count_collisions(threshold: int):
+    """Retained pairs (a, b, hits, label of b) of each block (token, part, block);
+    a block's rows follow each other."""
+
+    def pairs(rows: pa.RecordBatch):
+        probe = rows.column("probe").to_numpy(zero_copy_only=False)
+        cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
+        inside = rows.column("inside").to_numpy(zero_copy_only=False)
+        signature = rows.column("signature").flatten().to_numpy().reshape(-1, K)
+        a, b = np.flatnonzero(probe), np.flatnonzero(~probe)
+        step = max(1, (1 << 18) // max(1, len(b)))
+        for low in range(0, len(a), step):
+            own = a[low : low + step]
+            hits = np.zeros((len(own), len(b)), np.uint8)
+            for k in range(K) if hits.size > 64 else ():
+                hits += signature[own, k][:, None] == signature[b, k][None, :]
+            if hits.size <= 64:
+                hits = (signature[own][:, None, :] == signature[b][None, :, :]).sum(2)
+            good = (hits >= threshold) & (label[own][:, None] != label[b][None, :])
+            good &= inside[b][None, :] | (cid[own][:, None] < cid[b][None, :])
+            i, j = np.nonzero(good)
+            if len(i):
+                columns = [cid[own[i]], cid[b[j]], hits[i, j].astype(np.int32), label[b[j]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "hits", "lb"])
+
+    def count(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            keys = [table.column(c).to_numpy() for c in ("token", "part", "block")]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            rows = table.to_batches()[0]
+            for low, high in zip([0, *cuts[:-1]], cuts):
+                yield from pairs(rows.slice(low, high - low))
+            held = rows.slice(cuts[-1] if len(cuts) else 0)
+        if held is not None:
+            yield from pairs(held)
+
+    return count
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b as digests) among `pairs`, a stored table of (a, b): the sets
+    of both texts are compared word for word. A head's text is copied once for
+    SHARE of its partners."""
+
+    def links(batches):
+        for batch in batches:
+            a, b = [batch.column(c).to_pylist() for c in ("class_a", "class_b")]
+            one, two = batch.column("text_a"), batch.column("text_b")
+            found = []
+            for low, high in _runs(a, two):
+                own = pa.concat_arrays([one.slice(low, 1), two.slice(low, high - low)])
+                found += [(a[low], b[low + k]) for k in linked(own, size, percent)]
+            columns = list(zip(*found)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+    copies = scratch.stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("copies")), "copies")
+    many = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    one = copies.join(texts.withColumnRenamed("cid", "a"), "a").select(
+        "a", "copies", many.alias("part"), F.col("class").alias("class_a"), F.col("text").alias("text_a")
+    )
+    two = texts.select(F.col("cid").alias("b"), F.col("class").alias("class_b"), F.col("text").alias("text_b"))
+    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("part"))
+    both = dealt.join(two, "b").join(one.drop("copies"), ["a", "part"]).select("class_a", "class_b", "text_a", "text_b")
+    return both.mapInArrow(tidy(links), "a binary, b binary")
+
+
+def _runs(heads: list, texts: pa.Array, limit: int = 2 << 20):
+    """Row ranges of one head each, with a bounded number of bytes if they have two rows or more."""
+    low, held = 0, 0
+    for k, text in enumerate(texts):
+        n = text.as_buffer().size
+        if k > low and (heads[k] != heads[low] or held + n > limit):
+            yield low, k
+            low, held = k, 0
+        held += n
+    if heads:
+        yield low, len(heads)
+
+
+def linked(texts: pa.Array, size: int, percent: int) -> list[int]:
+    """Which of the texts after the first are similar enough to it."""
+    ((_, _, block),) = text_blocks(texts, limit=1 << 62)
+    of = block.of_word()
+    first, key = exact_runs(block.words(fold_case=True)[1], of, size, apart=False)
+    bounds = np.searchsorted(of[first], np.arange(block.n + 1))
+    head = np.unique(key[: bounds[1]])
+    found = []
+    for k in range(1, block.n):
+        own = np.unique(key[bounds[k] : bounds[k + 1]])
+        both = len(np.intersect1d(head, own, assume_unique=True))
+        if both and 100 * both >= percent * (len(head) + len(own) - both):
+            found.append(k - 1)
     return found
 
 
-def confirm(size: int, percent: int, threshold: int):
-    """Links within a group of rows (class, bi, bj, block, signature, text)."""
-
-    def links(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keys = table.column("class").to_pylist()
-        once = sorted({k: i for i, k in enumerate(keys)}.values())  # a class may come with repeated rows
-        table = table.take(pa.array(once))
-        keys = [keys[i] for i in once]
-        signature = np.array(table.column("signature").to_pylist(), np.int32).reshape(-1, K)
-        block = table.column("block").to_numpy()
-        pairs = _retained(signature, threshold)
-        np.fill_diagonal(pairs, False)
-        if table.column("bi")[0].as_py() != table.column("bj")[0].as_py():
-            pairs &= block[:, None] != block[None, :]
-        a, b = [], []
-        own = np.flatnonzero(pairs.any(axis=1))
-        if len(own):
-            sets, starts = [], [0]
-            for _, _, texts in text_blocks(table.column("text").take(pa.array(own))):
-                found, bounds = shingle_sets(texts, size)
-                sets.append(found)
-                starts += (bounds[1:] + starts[-1]).tolist()
-            starts = np.array(starts)
-            n = np.diff(starts)
-            both = _intersections(np.concatenate(sets), starts)
-            linked = pairs[np.ix_(own, own)] & (100 * both >= percent * (n[:, None] + n[None, :] - both))
-            for i, j in _forest(linked):
-                a.append(keys[own[i]])
-                b.append(keys[own[j]])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return links
-
-
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, class and first for each row of `docs`;
     `first` is the smallest (no_id, doc_id, text_hash) of its component, null
     for a text without words."""
-    threshold = match_threshold(percent)
-    prints = materialise(fingerprints(docs, size), "prints")
-    classes = materialise(
+    spark, threshold = docs.sparkSession, match_threshold(percent)
+    scratch, kept = Scratch(spark), Scratch(spark)
+    prints = kept.stored(fingerprints(docs, size), "prints")
+    classes = kept.stored(
         prints.filter("n_shingles > 0")
         .groupBy("class")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"))
-        .withColumn("cid", F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long")),
+        .withColumn("cid", F.xxhash64("class")),
         "classes",
     )
-    groups = candidate_groups(posted_prefixes(classes.select("cid", "signature"), threshold))
-    wanted = materialise(
-        classes.join(groups, "cid").select(
-            "class", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), "group", "n_blocks", "signature"
-        ),
-        "candidates",
-    )
-    slim = wanted.drop("signature")
-    if slim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        slim = F.broadcast(slim)
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = texts.join(slim, texts["doc_id"].cast("long").eqNullSafe(slim["__id"]) & (texts["text_hash"] == slim["__hash"]))
-    found = found.select("class", "text").join(wanted, "class")
-    block = F.pmod(F.xxhash64("class"), "n_blocks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    paired = found.select("class", "text", "signature", "group", block.alias("block"), other.alias("other"))
-    tasks = paired.select("class", "text", "signature", "block", "group", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    links = tasks.groupBy("group", "bi", "bj").applyInArrow(confirm(size, percent, threshold), "a binary, b binary")
-    linked = components(materialise(links, "links"))
-    firsts = linked.join(classes.select(F.col("class").alias("node"), "first"), "node")
-    roots = firsts.groupBy("root").agg(F.min("first").alias("least"))
-    reached = firsts.join(roots, "root").select(F.col("node").alias("class"), "least")
+    posted = scratch.stored(posted_prefixes(classes.select("cid", "signature"), threshold, scratch), "posted")
+    texts = scratch.stored(class_texts(docs, classes, posted), "texts")
+    ids = classes.select("cid", "class")
+
+    def merge(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components of the links as (node, root) of digests, and of cids."""
+        roots = components(links, scratch)
+        numbered = roots.join(ids, roots["node"] == ids["class"]).select(F.col("cid").alias("node"), F.xxhash64("root").alias("root"))
+        return roots, scratch.stored(numbered, "labels")
+
+    pairs = scratch.stored(retained(head_pairs(posted, scratch), classes, threshold), "pairs")
+    links = scratch.stored(confirmed(pairs, texts, size, percent, scratch), "links")
+    roots, labels = merge(links)
+    met = scratch.stored(probe_pairs(posted, labels, classes, threshold, scratch), "met")
+    met = scratch.stored(met.join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti"), "met")
+    if met.limit(1).count():
+        best = met.groupBy("a", "lb").agg(F.max_by("b", F.struct("hits", "b")).alias("b")).select("a", "b")
+        best = scratch.stored(best.distinct(), "best")
+        links = scratch.stored(links.union(confirmed(best, texts, size, percent, scratch)), "links")
+        roots, labels = merge(links)
+        label_of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        rest = met.select("a", "b").join(best, ["a", "b"], "left_anti").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+        rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        rest = scratch.stored(rest, "rest")
+        if rest.limit(1).count():
+            links = scratch.stored(links.union(confirmed(rest, texts, size, percent, scratch)), "links")
+            roots, _ = merge(links)
+    firsts = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
+    least = scratch.stored(firsts.groupBy("root").agg(F.min("first").alias("least")), "least")
+    reached = scratch.stored(firsts.join(least, "root").select(F.col("node").alias("class"), "least"), "reached")
     of_class = classes.select("class", "first").join(reached, "class", "left").select("class", F.coalesce("least", "first").alias("first"))
+    of_class = kept.stored(of_class, "firsts")  # stored, so that the rows of a hot class can be split
+    scratch.clear()
     return prints.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, "class", "left")
 
 
+def class_texts(docs: DataFrame, classes: DataFrame, posted: DataFrame) -> DataFrame:
+    """(cid, class, text), one text for each class that is posted."""
+    wanted = classes.join(posted.select("cid").distinct(), "cid", "left_semi")
+    wanted = wanted.select("cid", "class", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = rows.join(wanted, rows["doc_id"].cast("long").eqNullSafe(wanted["__id"]) & (rows["text_hash"] == wanted["__hash"]))
+    return found.groupBy("class").agg(F.first("cid").alias("cid"), F.first("text").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id,
     text), linked where 100 * intersection >= percent * union."""
