@@ -10,10 +10,15 @@ half of the content text is inside, and otherwise the lowest sectioning element
 over all of them.
 
 Elements that aren't part of an article by their kind (navigation, page
-headers, footers, asides, forms, scripts, styles) or by their class, id or role
-(menus, adverts, notices, sidebars, reader comments) count in no ratio. What
-lies in the container otherwise is kept whole, however short: lists, quotes,
-tables, preformatted text.
+headers, footers, asides, forms, scripts, styles), by their role, or by a class
+or id that says nothing else (`ad`, `cookie-notice`, `comment-list`) count in no
+ratio. Where a class or id has a word that may mean either (`social`, `legal`,
+`share`), the scores decide: the element goes if none of its blocks is on a
+content path. What lies in the container otherwise is kept whole, however
+short: lists, quotes, tables, preformatted text.
+
+Time and memory are in proportion to the page: paths are interned as (path of
+the parent, tag), and open elements are found by tag, not by walking up.
 
 Defined cases: a null or empty page has an empty text, and so has a page
 without content; broken markup is read as browsers do in the plain cases (an
@@ -26,7 +31,8 @@ from __future__ import annotations
 
 import html
 import re
-from math import exp
+from bisect import bisect_right
+from math import exp, inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +45,7 @@ _TAG = re.compile(
     |<[!?][^>]*>""",
     re.S | re.I | re.X,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡\"'()«»„“”–—-]")
 _BLANK = re.compile(r"[ \t\n\v\f\r]+")
 
@@ -56,15 +62,25 @@ CLOSED_BY = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot"}),
     "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"}),
 }
+#: The same by the element that starts.
+CLOSES = {tag: [kind for kind, starts in CLOSED_BY.items() if tag in starts] for tag in sorted(frozenset().union(*CLOSED_BY.values()))}
 #: Elements that hold the scope of implied ends.
 SCOPES = frozenset("ul ol dl table select menu article section aside nav div body main form".split())
 NOISE_TAGS = frozenset("aside button canvas dialog footer form head iframe menu nav object search select svg video audio".split())
 NOISE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Names that say noise alone or together, names that may say it, and names
+#: that say nothing beside them.
 NOISE_WORDS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies copyright disclaimer discussion disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip "
-    "social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted sidebar "
+    "signup sponsor sponsored subscribe toolbar topbar widget".split()
+)
+DOUBTFUL_WORDS = frozenset(
+    "alert copyright disclaimer discussion legal login notification promotion recommended related replies reply search share sharing skip social".split()
+)
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box button buttons container content form global group header inner item items left link links list main media message "
+    "outer page panel post posts right row section site slot text thread to top unit wrap wrapper".split()
 )
 #: Elements that can be the container of a page without article and main, and
 #: those of them that are no container if they are a block of text themselves.
@@ -79,41 +95,112 @@ _KERNEL = [exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-2, 3)]
 
 
 class Element:
-    __slots__ = ("tag", "parent", "noise", "path")
+    """`article` and `main` are the outermost ones around it, `doubtful` the
+    innermost element around it whose name may say noise; `first` and `last`
+    number the elements from it to the end of its subtree in page order."""
+
+    __slots__ = ("tag", "parent", "noise", "path", "depth", "article", "main", "doubtful", "first", "last")
 
-    def __init__(self, tag: str, parent: Element | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
-        self.path = f"{parent.path}/{tag}" if parent else tag
 
-    def up(self):
-        at = self
-        while at is not None:
-            yield at
-            at = at.parent
+def _named(value: str, one: bool) -> bool | None:
+    """Whether the names in a class (or the one of an id) say noise; None if they may."""
+    found: bool | None = False
+    for name in [value] if one else value.split():
+        words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+        if not words or not all(w in NOISE_WORDS or w in DOUBTFUL_WORDS or w in PLAIN_WORDS for w in words):
+            continue
+        if not NOISE_WORDS.isdisjoint(words) or sum(w in DOUBTFUL_WORDS for w in words) > 1:
+            return True
+        if not DOUBTFUL_WORDS.isdisjoint(words):
+            found = None
+    return found
 
 
-def _is_noise(tag: str, attributes: str, parent: Element) -> bool:
+def _is_noise(tag: str, attributes: str, parent: Element) -> bool | None:
+    """Whether the element is noise; None where scores are to decide."""
     if parent.noise or tag in NOISE_TAGS:
         return True
-    if tag == "header" and not any(e.tag in ("article", "main") for e in parent.up()):
+    if tag == "header" and parent.article is None and parent.main is None:
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+    found: bool | None = False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id"):
+            named = _named(value, name == "id")
+            if tag in ("html", "body", "article", "main") and "comment" not in value.lower():
+                continue
+            if named:
+                return True
+            found = None if named is None else found
+        elif name == "role" and value.lower() in NOISE_ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value in NOISE_ROLES or name == "aria-hidden" and value == "true":
+        elif name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+    return found
+
+
+class Tree:
+    """The open elements of a page, found by tag and by scope."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.of_tag: dict[str, list[int]] = {}
+        self.scopes, self.paths, self.count = [-1], {}, 0
+        self.push("", "")
+
+    @property
+    def at(self) -> Element:
+        return self.open[-1]
+
+    def push(self, tag: str, attributes: str) -> None:
+        e, parent = Element(), self.open[-1] if self.open else None
+        noise = _is_noise(tag, attributes, parent) if parent else False
+        e.tag, e.parent, e.noise, e.depth, e.first, e.last = tag, parent, bool(noise), len(self.open), self.count, None
+        e.path = self.paths.setdefault((parent.path if parent else -1, tag), len(self.paths))
+        e.article = parent and parent.article or (e if tag == "article" else None)
+        e.main = parent and parent.main or (e if tag == "main" else None)
+        e.doubtful = e if noise is None else parent and parent.doubtful
+        self.count += 1
+        self.of_tag.setdefault(tag, []).append(e.depth)
+        if tag in SCOPES:
+            self.scopes.append(e.depth)
+        self.open.append(e)
+
+    def innermost(self, tag: str, least: int) -> int | None:
+        """Depth of the innermost open element of a tag, if it is `least` or more."""
+        found = self.of_tag.get(tag)
+        return found[-1] if found and found[-1] >= least else None
+
+    def close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            e = self.open.pop()
+            e.last = self.count - 1
+            self.of_tag[e.tag].pop()
+            if e.tag in SCOPES:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        least = self.scopes[-1] if tag not in SCOPES and (tag in BLOCKS or tag in CLOSED_BY) else 1
+        depth = self.innermost(tag, least)
+        if depth:
+            self.close(depth)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            depth = self.innermost("p", self.scopes[-1] + 1)
+            if depth:
+                self.close(depth)
+        for kind in CLOSES.get(tag, ()):
+            while depth := self.innermost(kind, self.scopes[-1] + 1):
+                self.close(depth)
+        if tag not in VOID:
+            self.push(tag, attributes.removesuffix("/"))
 
 
 def text_blocks_of(page: str) -> list[tuple[Element, str]]:
     """Blocks of text that no noise element holds, in page order."""
-    at = Element("", None, False)
-    found, held, block = [], [], at
+    tree = Tree()
+    found, held, block = [], [], tree.at
 
     def flush():
         if held:
@@ -124,7 +211,7 @@ def text_blocks_of(page: str) -> list[tuple[Element, str]]:
 
     end = 0
     for m in _TAG.finditer(page):
-        if m.start() > end and not at.noise:
+        if m.start() > end and not tree.at.noise:
             held.append(html.unescape(page[end : m.start()]))
         end = m.end()
         closing, tag, attributes = m.group(2, 3, 4) if m.group(3) else m.group(5, 6, 7)
@@ -133,37 +220,18 @@ def text_blocks_of(page: str) -> list[tuple[Element, str]]:
         tag = tag.lower()
         if tag in BLOCKS:
             flush()
+        if tag == "br":
+            held.append(" ")
         if closing:
-            for e in at.up():
-                if e.tag == tag:
-                    at = e.parent
-                    break
-                if e.tag in SCOPES and tag not in SCOPES and tag in BLOCKS | CLOSED_BY.keys():
-                    break
+            tree.end(tag)
         else:
-            if tag in BLOCKS:
-                for e in at.up():
-                    if e.tag == "p":
-                        at = e.parent
-                        break
-                    if e.tag in SCOPES:
-                        break
-            for e in at.up():
-                if tag in CLOSED_BY.get(e.tag, ()):
-                    at = e.parent
-                if e.tag in SCOPES:
-                    break
-            if tag == "br":
-                held.append(" ")
-            elif tag not in VOID and not attributes.endswith("/"):
-                at = Element(tag, at, _is_noise(tag, attributes, at))
-            elif attributes.endswith("/") and tag not in VOID:
-                at = Element(tag, at, _is_noise(tag, attributes[:-1], at))
+            tree.start(tag, attributes)
         if tag in BLOCKS:
-            block = at
-    if end < len(page) and not at.noise:
+            block = tree.at
+    if end < len(page) and not tree.at.noise:
         held.append(html.unescape(page[end:]))
     flush()
+    tree.close(0)
     return found
 
 
@@ -176,8 +244,8 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
-    sums: dict[str, list[int]] = {}
+def content_paths(blocks: list[tuple[Element, str]]) -> set[int]:
+    sums: dict[int, list[int]] = {}
     for e, text in blocks:
         own = sums.setdefault(e.path, [0, 0, 0])
         own[0] += 1
@@ -190,31 +258,26 @@ def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
     scores = [(a * b) ** 0.5 for a, b in zip(plain, smooth)]
     mean = sum(scores) / len(scores)
     spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-    best: dict[str, float] = {}
+    best: dict[int, float] = {}
     for (e, _), s in zip(blocks, scores):
         best[e.path] = max(s, best.get(e.path, 0.0))
     least = min(max(SPREAD_SHARE * spread, MEAN_SHARE * mean), max(best.values()))
     return {p for p, s in best.items() if s >= least}
 
 
-def content_containers(content: list[tuple[Element, str]]) -> set[Element]:
+def content_containers(content: list[tuple[Element, str]]) -> list[Element]:
     """The elements that are kept whole, given the blocks of content paths."""
     total = sum(len(text) for _, text in content)
     for kind in ("article", "main"):
-        holders, inside = set(), 0
-        for e, text in content:
-            own = [x for x in e.up() if x.tag == kind]
-            if own:
-                holders.add(own[-1])
-                inside += len(text)
-        if 2 * inside >= total and holders:
-            return holders
-    shared = list(content[0][0].up())
-    for e in {e for e, _ in content}:
-        own = set(e.up())
-        shared = [x for x in shared if x in own]
+        inside = [(getattr(e, kind), len(text)) for e, text in content if getattr(e, kind)]
+        if inside and 2 * sum(n for _, n in inside) >= total:
+            return list(dict.fromkeys(e for e, _ in inside))
     blocks = {e for e, _ in content}
-    return {next(x for x in shared if x.tag in CONTAINERS and not (x.tag in CELLS and x in blocks))}
+    # The lowest element over the first and the last in page order is over all.
+    low, high = min(blocks, key=lambda e: e.first), max(blocks, key=lambda e: e.first)
+    while low.last < high.first or low.tag not in CONTAINERS or low.tag in CELLS and low in blocks:
+        low = low.parent
+    return [low]
 
 
 def main_text(page: str | None) -> str:
@@ -222,8 +285,21 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     paths = content_paths(blocks)
-    holders = content_containers([(e, text) for e, text in blocks if e.path in paths])
-    return "\n".join(text for e, text in blocks if not holders.isdisjoint(e.up()))
+    content = [(e, text) for e, text in blocks if e.path in paths]
+    holders = content_containers(content)
+    spared: set[Element] = set()
+    for e, _ in content:
+        at = e.doubtful
+        while at is not None and at not in spared:
+            spared.add(at)
+            at = at.parent.doubtful
+    starts = sorted((e.first, e.last) for e in holders)
+    out = []
+    for e, text in blocks:
+        k = bisect_right(starts, (e.first, inf)) - 1  # holders don't overlap
+        if k >= 0 and e.first <= starts[k][1] and (e.doubtful is None or e.doubtful in spared):
+            out.append(text)
+    return "\n".join(out)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
