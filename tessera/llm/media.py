@@ -4,7 +4,9 @@ An Aho-Corasick automaton finds the magic bytes of all formats in one pass over
 a byte string; for each hit a validator of the format follows its structure
 (chunks, blocks, checksums, sizes) and says where the medium ends, or that
 there is none. The medium that starts at byte 0 corrects the declared type;
-validated media further in are carved out with their place and length.
+validated media further in are carved out with their place and length. Bytes
+that a medium has taken belong to no other, so what is carved is never more
+than what was given.
 
 `store_payloads` keeps byte strings losslessly as 8-bit mono PCM in WAV files,
 a table column like any other, and `read_media` takes them back through the
@@ -188,12 +190,26 @@ def _flac(data: bytes, at: int) -> int | None:
     return None
 
 
+_MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
+def _ogg_checksum(page: bytes) -> int:
+    """CRC-32 of the page with a blank checksum field, bits not mirrored, no inversions."""
+    mirrored = zlib.crc32((page[:22] + b"\0\0\0\0" + page[26:]).translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{mirrored:032b}"[::-1], 2)
+
+
 def _ogg(data: bytes, at: int) -> int | None:
-    p = at
-    while p + 27 <= len(data) and data[p : p + 5] == b"OggS\0":
+    """All pages of a stream from one that continues no packet to the last; a
+    checksum of 0 is taken for one that was left out."""
+    p, stream = at, data[at + 14 : at + 18]
+    if len(data) < at + 27 or data[at + 5] & 1:
+        return None
+    while p + 27 <= len(data) and data[p : p + 5] == b"OggS\0" and data[p + 14 : p + 18] == stream:
         n = data[p + 26]
         stop = p + 27 + n + sum(data[p + 27 : p + 27 + n])
-        if stop > len(data):
+        given = int.from_bytes(data[p + 22 : p + 26], "little")
+        if stop > len(data) or given and given != _ogg_checksum(data[p:stop]):
             return None
         if data[p + 5] & 4:
             return stop
@@ -215,9 +231,11 @@ def _gzip(data: bytes, at: int) -> int | None:
 
 def _pdf(data: bytes, at: int) -> int | None:
     last = data.rfind(b"%%EOF", at)
-    return last + 5 if last > 0 and data.find(b"startxref", at, last) > 0 else None
+    return last + 5 if last > 0 and data.rfind(b"startxref", at, last) > 0 else None
 
 
+#: Kinds whose contents are bytes of any kind.
+CONTAINERS = frozenset({"wav", "pdf"})
 VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pgm": _pgm, "flac": _flac, "ogg": _ogg, "gzip": _gzip, "pdf": _pdf}
 
 
@@ -233,14 +251,22 @@ def _automaton():
 
 
 def sniff(data: bytes | None) -> list[tuple[str, int, int]]:
-    """(kind, start, length) of every validated medium, outer ones first."""
-    found = []
+    """(kind, start, length) of every validated medium in order. What lies in
+    one isn't looked at again, but for a container that starts at byte 0: its
+    contents are searched like loose bytes. So embedded media don't overlap."""
+    found, free, closed = [], 0, set()
     for last, (size, kind) in _automaton().iter((data or b"").decode("latin-1")):
         start = last - size + 1
+        if start < free or kind in closed:
+            continue
         end = VALIDATORS[kind](data, start)
         if end is not None:
             found.append((kind, start, end - start))
-    return sorted(found, key=lambda x: (x[1], -x[2]))
+            if start or kind not in CONTAINERS:
+                free = end
+        if kind == "pdf":  # another one that starts later ends where this one does, or not at all
+            closed.add(kind)
+    return found
 
 
 def correct_types(media: DataFrame, column: str = "media", declared: str = "declared") -> DataFrame:
