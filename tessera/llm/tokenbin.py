@@ -17,8 +17,10 @@ holds whole documents and their own index. A segment's payload:
     i64 doc ids | u8 doc-id-is-null flags | u32 ids of each document
 
 Ids are below 2**32. Defined cases: a null or empty text is just its end id; a
-null doc_id sorts first; repeated rows are stored once for each row; an empty
-table gives an empty dataset; other columns are not stored.
+null doc_id sorts first; rows of one doc_id are in order of their texts' hashes,
+then of their texts, so that the file depends on the rows alone; repeated rows
+are stored once for each row; an empty table gives an empty dataset; other
+columns are not stored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ MAGIC = b"PFORIDS1"
 SIZE = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
+PART_BYTES = 64 << 20
+#: Plans of unknown size say more than this.
+UNKNOWN_BYTES = 1 << 52
 SEGMENTS = "part int, seq int, n_ids long, n_docs long, payload binary"
 
 
@@ -144,10 +149,19 @@ def decode_segment(payload: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     return ids, [None if m else k for k, m in zip(known, missing)], lengths
 
 
+def _parts(docs: DataFrame) -> int:
+    """Ranges of about PART_BYTES by the plan's estimate, no fewer than the session's shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= UNKNOWN_BYTES else max(least, -(-size // PART_BYTES))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> None:
     """Encode every text and write the dataset at `path`, documents in
-    ascending doc_id order. Texts are shuffled once, by ranges of their ids."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ascending doc_id order. Texts are shuffled once, by ranges of (doc_id, hash
+    of the text, place in `docs`), so that many rows of one id, or without one,
+    fall in several ranges; equal rows alone are told apart by their place."""
+    parts = parts or _parts(docs)
     end = np.array([end_id], "<u4")
 
     def segments(batches):
@@ -177,7 +191,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
