@@ -10,9 +10,10 @@ lengths (at most `capacity` numbers, all that reaches the driver) and not on
 the number of documents.
 
 The plan says which ranks of a length go where. Ranks are dealt out over
-buckets of a document hash: counts of (length, bucket) give each bucket's
-first rank, and rows are numbered within a bucket, so a length that a third of
-all rows share is spread over all buckets.
+buckets of a hash of the piece's number in the stored table: counts of (length,
+bucket) give each bucket's first rank, and rows are numbered within a bucket, so
+a length that a third of all rows share is spread over all buckets, repeated
+rows and rows without id too.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 packed once for each row; rows without id are packed too; an empty table gives
@@ -35,7 +36,7 @@ from .workers import tidy
 
 CAPACITY = 4096
 BUCKET_ROWS = 50_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __piece long"
 
 
 def fullest_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -86,10 +87,15 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most `capacity` ids: full ones, and the rest of each document."""
+    """Pieces of at most `capacity` ids: full ones, and the rest of each
+    document. `__piece` numbers them within their task, which is stable once
+    they are stored, and tells repeated rows apart."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, raw, doc_ids = [], [], batch.column("doc_id").to_pylist()
             for i, j, ids, bounds in encoder(tokenizer).blocks(batch.column("text")):
@@ -99,11 +105,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                     total = len(own) // 4
                     for start in range(0, total, capacity):
                         piece = own[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_ids[k], start, len(piece) // 4, zlib.crc32(piece), total))
+                        rows.append((doc_ids[k], start, len(piece) // 4, zlib.crc32(piece), total, number))
+                        number += 1
                         if with_ids:
                             raw.append(piece)
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "__piece"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -111,8 +118,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`pieces` (a stored table with doc_id, start, length) with sequence_id
-    and offset."""
+    """`pieces` (a stored table with length and __piece) with sequence_id and
+    offset, and without __piece."""
     counts = pieces.groupBy("length").count()
     histogram = {r["length"]: r["count"] for r in counts.collect()}  # at most `capacity` rows
     if max(histogram, default=0) > capacity:
@@ -137,15 +144,16 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     buckets = max(8, -(-sum(histogram.values()) // BUCKET_ROWS))
-    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("__piece"), F.lit(buckets)))
     sums = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     firsts = sums.select(
         "length", "__bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("n")).alias("__first")
     )
-    order = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start", "ids_crc32")
+    order = Window.partitionBy("length", "__bucket").orderBy("__piece")
     numbered = bucketed.withColumn("__row", F.row_number().over(order)).join(firsts, ["length", "__bucket"])
-    ranked = numbered.select(*pieces.columns, (F.col("__first") + F.col("__row") - 1).cast("long").alias("__rank"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    kept = [c for c in pieces.columns if c != "__piece"]
+    ranked = numbered.select(*kept, (F.col("__first") + F.col("__row") - 1).cast("long").alias("__rank"))
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept)
     return ranked.mapInArrow(tidy(place), f"{names}, sequence_id long, offset long")
 
 
