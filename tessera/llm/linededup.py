@@ -7,9 +7,10 @@ document is put together again from the positions that stay.
 Text moves once at most. Only hashes and positions travel to be counted and
 matched; pairs of line and document are made distinct first and counts are
 combined before their shuffle, so a line that every document has costs one row
-a task there, and the match with the frequent keys is an equi-join
-whose hot keys adaptive execution splits (or whose small side it broadcasts
-after measuring it).
+a task there. The frequent keys and the positions to drop are written and read
+again, so that Spark knows their size: it broadcasts them below its threshold,
+and beyond it adaptive execution can split a hot key, since both sides of the
+join come straight from a shuffle.
 
 Defined cases: a null or empty text is one empty line; an empty key never
 counts while `min_key_chars` is 1 or more; rows of the same doc_id are one
@@ -26,6 +27,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 BLANKS = " \t\n\v\f\r"
 
 
@@ -62,7 +65,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, sta
         F.xxhash64("text").alias("__hash"),
     )
     slim = whole.select("doc_id", "__hash", "__lines")
-    frequent = frequent_lines(slim, min_docs, min_key_chars)
+    frequent = materialise(frequent_lines(slim, min_docs, min_key_chars), "lines")
     # Repeated rows share id and hash; what falls in one falls in all of them.
     hits = (
         slim.select("doc_id", "__hash", F.posexplode(F.transform("__lines", line_key)).alias("__pos", "__key"))
@@ -73,6 +76,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, sta
         .agg(F.collect_set("__pos").alias("__gone"))
         .select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__id_hash"), "__gone")
     )
+    hits = materialise(hits, "drops")
     joined = whole.join(
         hits, whole["doc_id"].eqNullSafe(hits["__id"]) & (whole["__hash"] == hits["__id_hash"]), "left"
     )
