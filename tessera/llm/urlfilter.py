@@ -10,8 +10,11 @@ gives exact membership, and no row of it is joined: the levels are a few bit
 arrays that travel with the plan as scalars.
 
 A url's keys are its host and the domains above it, as far as listed domains
-have labels. The arrays have a checked size (`max_bits` for all levels); a list
-that needs more is matched by a semi-join on keys instead, with equal results.
+have labels. A key's bits lie in one word of a level, so a test is one hash, one
+look and one comparison. The arrays have a checked size (`max_bits` for all
+levels). A list that needs more is dealt over shards by a hash of the key, each
+with a cascade of its own; distinct hosts are tested there, each key with the
+arrays of its shard, and only their verdicts are brought to the urls.
 
 The query reads its list from the table blocked_domains (a column key) beside
 pages. Where there is none, it takes a stand-in: six made-up host names, found
@@ -26,7 +29,6 @@ replaced.
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Sequence
 from functools import reduce
@@ -35,6 +37,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .storage import materialise
 
 #: (host, start of the path, verdict), as the task states them.
@@ -49,9 +52,10 @@ RULES = (
 BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BLOCKED_ZONES = ("example.com", "example.net", "example.org")
 
-BITS_PER_KEY = 10
-HASHES = 6
 MAX_BITS = 1 << 26
+MAX_SHARDS = 4096
+#: Keys of a host up to this number are tested one by one, more of them in a loop.
+UNROLLED = 6
 
 
 def host_of(url: Column) -> Column:
@@ -85,46 +89,24 @@ def domains(host: Column, depth: int) -> list[Column]:
     return [F.when((n >= k) & (host != ""), F.array_join(F.slice(labels, -k, k), ".")) for k in range(1, depth + 1)]
 
 
-def _positions(key: Column, level: int, n_bits: int) -> list[Column]:
-    one = F.pmod(F.xxhash64(F.lit(level), key), F.lit(n_bits))
-    two = F.pmod(F.xxhash64(key, F.lit(level)), F.lit(n_bits)).bitwiseOR(F.lit(1))
-    return [F.pmod(one + F.lit(k) * two, F.lit(n_bits)).cast("long") for k in range(HASHES)]
-
-
-def _tests(key: Column, level: int, n_bits: int, words: Column) -> Column:
-    hit = [
-        F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63))) == 1
-        for p in _positions(key, level, n_bits)
-    ]
-    return reduce(lambda a, b: a & b, hit)
-
-
 class Cascade:
-    """Levels of (number of bits, one-row table of a word array)."""
+    """Levels of (number of words, one-row table of a word array)."""
 
     def __init__(self, levels: list[tuple[int, DataFrame]]):
         self.levels = levels
 
     def contains(self, key: Column) -> Column:
         """Exact for the keys that the cascade was built over."""
-        found = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            n_bits, words = self.levels[level]
-            inside = _tests(key, level, n_bits, words.scalar())
-            found = F.when(inside, found).otherwise(F.lit(level % 2 == 1))
-        return found if self.levels else F.lit(False)
-
-
-def _bit_words(keys: DataFrame, level: int, n_bits: int) -> DataFrame:
-    """One row with the bits of `keys` as an array of 64-bit words; bits are
-    joined per word before they are brought together."""
-    place = F.explode(F.array(*_positions(F.col("key"), level, n_bits))).alias("p")
-    bits = keys.select(place).select(
-        F.shiftright("p", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("bit")
-    )
-    blank = keys.sparkSession.range(n_bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
-    words = bits.union(blank).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+        return _walk(key, [(n, words.scalar()) for n, words in self.levels])
+
+
+def _walk(key: Column, levels: list[tuple[int | Column, Column]]) -> Column:
+    """The first level that doesn't hold the key tells: even levels hold listed keys."""
+    found = F.lit(len(levels) % 2 == 1)
+    for level in reversed(range(len(levels))):
+        n_words, words = levels[level]
+        found = F.when(bloom.holds(key, level, n_words, words), found).otherwise(F.lit(level % 2 == 1))
+    return found if levels else F.lit(False)
 
 
 def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
@@ -134,19 +116,41 @@ def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | No
     encode, other = universe.filter("listed"), universe.filter("NOT listed")
     size = encode.count()
     while size:
-        n_bits = 64 * max(1, math.ceil(size * BITS_PER_KEY / 64))
-        spent += n_bits
+        n_words = bloom.n_words(size)
+        spent += 64 * n_words
         if spent > max_bits:
             return None
         level = len(levels)
-        words = materialise(_bit_words(encode, level, n_bits), "bloom")
-        levels.append((n_bits, words))
-        wrong = other.filter(_tests(F.col("key"), level, n_bits, words.scalar()))
+        words = materialise(bloom.words(encode, level, n_words), "bloom")
+        levels.append((n_words, words))
+        wrong = other.filter(bloom.holds(F.col("key"), level, n_words, words.scalar()))
         encode, other = wrong, encode
         size = encode.count()
     return Cascade(levels)
 
 
+def sharded_hits(universe: DataFrame, keyed: DataFrame, shards: int) -> DataFrame:
+    """The rows of `keyed` (with a column key) that the list has, by one cascade
+    for each shard of the keys. A level's arrays are one row a shard, and a key
+    meets its shard's rows only; levels are built for all shards at once."""
+    shard = F.pmod(F.xxhash64(F.lit("shard"), F.col("key")), F.lit(shards)).cast("int")
+    universe = universe.withColumn("shard", shard)
+    probes = keyed.withColumn("shard", shard).withColumns({"__open": F.lit(True), "__hit": F.lit(False)})
+    encode, other, level = universe.filter("listed"), universe.filter("NOT listed"), 0
+    while encode.limit(1).count():
+        sizes = encode.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        sizes = materialise(sizes.select("shard", bloom.n_words(F.col("n")).alias("n_words")), "shards")
+        words = materialise(bloom.sharded_words(encode, level, sizes), "bloom")
+        inside = F.coalesce(bloom.holds(F.col("key"), level, F.col("n_words"), F.col("words")), F.lit(False))
+        wrong = materialise(other.join(words, "shard").filter(inside).select(*other.columns), "wrong")
+        met = probes.join(words, "shard", "left")
+        out = F.col("__open") & ~inside  # decided here; a shard without this level holds no key of it
+        hit = F.when(out, F.lit(level % 2 == 1)).otherwise(F.when(F.col("__open"), F.lit(level % 2 == 0)).otherwise(F.col("__hit")))
+        probes = met.select(*[c for c in probes.columns if c not in ("__open", "__hit")], (F.col("__open") & inside).alias("__open"), hit.alias("__hit"))
+        encode, other, level = wrong, encode, level + 1
+    return probes.filter("__hit").drop("__open", "__hit", "shard")
+
+
 def key_universe(hosts: DataFrame, listed: DataFrame, depth: int) -> DataFrame:
     """Distinct keys of the corpus, with whether the list has them."""
     distinct = hosts.select("host").distinct()
@@ -174,13 +178,18 @@ def filter_urls(
     universe = materialise(key_universe(split, listed, depth), "keys")
     cascade = build_cascade(universe, max_bits)
     if cascade is None:
-        bad = split.select("host").distinct().select("host", F.explode(F.array(*domains(host, depth))).alias("key"))
-        bad = bad.join(universe.filter("listed"), "key").select("host").distinct().withColumn("__bad", F.lit(True))
+        keyed = split.select("host").distinct().select("host", F.explode(F.array(*domains(host, depth))).alias("key")).filter("key IS NOT NULL")
+        needed = universe.filter("listed").count() * 2 * bloom.BITS_PER_KEY
+        bad = sharded_hits(universe, keyed, min(MAX_SHARDS, -(-needed // max_bits)))
+        bad = materialise(bad.select("host").distinct().withColumn("__bad", F.lit(True)), "bad")
         return split.join(bad, "host", "left").select(
             *split.columns, named.alias("rule"),
             F.coalesce(ruled, F.when(F.col("__bad"), "block").otherwise("allow")).alias("verdict"),
         )
-    hit = reduce(lambda a, b: a | b, [F.coalesce(k.isNotNull() & cascade.contains(k), F.lit(False)) for k in domains(host, depth)])
+    if depth <= UNROLLED:
+        hit = reduce(lambda a, b: a | b, [F.coalesce(k.isNotNull() & cascade.contains(k), F.lit(False)) for k in domains(host, depth)])
+    else:
+        hit = F.exists(F.array(*domains(host, depth)), lambda k: F.coalesce(k.isNotNull() & cascade.contains(k), F.lit(False)))
     return split.select("*", named.alias("rule"), F.coalesce(ruled, F.when(hit, "block").otherwise("allow")).alias("verdict"))
 
 
