@@ -40,6 +40,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return Scratch(df.sparkSession).stored(df, tag)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
 class Scratch:
     """Tables that one call writes and reads again, and then deletes."""
 
@@ -54,6 +64,6 @@ class Scratch:
     def clear(self, keep: int = 0) -> None:
         """Delete all tables but the last `keep`."""
         for path in self.paths[: len(self.paths) - keep]:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            system, target = _file_system(self.spark, path)
+            system.delete(target, True)
         del self.paths[: len(self.paths) - keep]
