@@ -11,19 +11,24 @@
    partners must share one among the first c - T + 1, rarest first (any common
    order of the values will do), so only these prefixes are posted, and text
    that thousands share is posted only by what consists of little else.
-3. Posting lists are merged to pairs, collisions are counted over all
-   coordinates, and pairs with T or more are retained; only for them texts
-   move, and their sets are compared word for word. Pairs come in three rounds,
-   each skipping what the links so far have joined already:
-   a. every member with the heads of its lists. A list's head is the class with
-      the most collisions in the corpus (the sum of its values' frequencies),
-      which in a group of copies is what they were copied from;
-   b. in each list, members outside its largest component (`probes`) with all
-      others; of a class's retained pairs with a component, the one of most
-      collisions is compared;
-   c. the rest of those pairs, as far as they still lie in two components.
-   A list of one component makes no pairs, so a hot group costs its size once
-   its members are linked, and n times m for m members that aren't.
+3. Posting lists are merged and collisions counted over all coordinates; pairs
+   with T or more are retained, and only for them texts move and are compared
+   word for word. What links have joined already is skipped:
+   a. Every member meets one head, of the heads of its lists the one it shares
+      most lists with. A list's head is the class with the most collisions in
+      the corpus (the sum of its values' frequencies), which in a group of copies
+      is what they were copied from.
+   b. In each list the members outside its largest component (`probes`) meet all
+      others, signature by signature, in blocks of bounded rows. A block gives
+      the members that retain a pair, and edges that say which components hang
+      together, never the pairs: no more rows than it has read.
+   c. The members of what hangs together are compared in blocks of bounded
+      bytes, again probes with all others, retained pairs only. A block gives as
+      many links as join its components.
+   A list of one component is skipped, so a hot group costs its size once its
+   members are linked. Of n similar texts, m that no chain of links has joined to
+   the largest component cost n * m comparisons within the blocks; a text goes to
+   one block for each BLOCK_BYTES of the probes it has to meet.
 4. Components of the links give each document the smallest id it can reach.
 
 T is the largest number that a pair just at the threshold misses with a
@@ -56,7 +61,9 @@ SHINGLE_WORDS = 5
 K = 64
 MISS = 1e-6
 #: Probes of a list that one task compares with eight times as many of its members.
-BLOCK = 512
+BLOCK = 128
+#: Bytes of probes' texts, and of members' texts, that one task compares.
+BLOCK_BYTES = 1 << 20
 #: Partners of a head that share one copy of its text.
 SHARE = 1000
 #: Candidates (about 100 bytes each) are broadcast to the texts up to this
@@ -141,16 +148,18 @@ def retained(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 
 
 def head_pairs(posted: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (head, member) of all lists of two classes or more."""
-    heads = posted.groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"), F.count(F.lit(1)).alias("n"))
-    heads = scratch.stored(heads.filter("n > 1").select("token", "a"), "heads")
-    return posted.join(heads, "token").filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
-
-
-def probe_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b, hits, lb): retained pairs of two components within the
-    lists that have several, b's component being lb. A list is dealt in blocks of
-    BLOCK probes and eight times as many members."""
+    """(a, b): for each class b in a list of two or more, the head it shares most lists with."""
+    heads = posted.groupBy("token").agg(F.max_by("cid", F.struct("weight", "cid")).alias("a"), F.max("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    heads = scratch.stored(heads.filter("n > 1").select("token", "a", "w"), "heads")
+    met = posted.select("cid", "token").join(heads, "token").groupBy("cid", "a").agg(F.count(F.lit(1)).alias("lists"), F.max("w").alias("w"))
+    nearest = met.filter("a <> cid").groupBy("cid").agg(F.max_by("a", F.struct("lists", "w", "a")).alias("a"))
+    return nearest.select("a", F.col("cid").alias("b"))
+
+
+def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(cid, la, lb) of the lists that have several components: with a cid, it
+    retains a pair with another component; without, the components la and lb
+    hang together."""
     named = posted.select("cid", "token").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     named = scratch.stored(named.select("token", "cid", F.coalesce("root", "cid").alias("label")), "named")
     sizes = scratch.stored(named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -159,60 +168,163 @@ def probe_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, thresh
     )
     blocks = {"parts": F.ceil(F.col("others") / BLOCK).cast("int"), "blocks": F.ceil(F.col("n") / (8 * BLOCK)).cast("int")}
     lists = scratch.stored(lists.filter("others > 0").withColumns(blocks).drop("n", "others"), "lists")
-    signed = classes.select("cid", "signature")
-    members = scratch.stored(named.join(lists, "token").join(signed, "cid"), "members")
-    at = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["token", "part", "block", "probe", "cid", "label", (F.col("label") == F.col("main")).alias("inside"), "signature"]
-    probes = members.filter("label <> main").withColumns({"probe": F.lit(True), "part": at}).withColumn("block", every("blocks"))
-    others = members.withColumns({"probe": F.lit(False), "block": block}).withColumn("part", every("parts"))
-    dealt = probes.select(*columns).union(others.select(*columns)).repartition("token", "part", "block")
-    dealt = dealt.sortWithinPartitions("token", "part", "block")
-    return dealt.mapInArrow(tidy(_count_collisions(threshold)), "a long, b long, hits int, lb long").distinct()
+    members = scratch.stored(named.join(lists, "token").join(classes.select("cid", "signature"), "cid"), "members")
+    dealt = dealt_blocks(members, "token", ["cid", "label", "signature"])
+
+    def touched(rows: pa.RecordBatch):
+        cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
+        met, joined = np.zeros(len(cid), bool), Joined()
+        for a, b, good in _retained(rows, threshold):
+            met[a[good.any(axis=1)]] = met[b[good.any(axis=0)]] = True
+            for i, near in zip(a, good):
+                joined.add(label[i], label[b[near]])
+        own = np.unique(np.stack((cid[met], label[met]), 1), axis=0)
+        edges = np.array(joined.edges, np.int64).reshape(-1, 2)
+        if len(own):
+            columns = [own[:, 0].tolist() + [None] * len(edges), np.append(own[:, 1], edges[:, 0]), np.append(own[:, 1], edges[:, 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cid", "la", "lb"])
+
+    return dealt.mapInArrow(tidy(_by_block(touched)), "cid long, la long, lb long").distinct()
+
+
+def group_links(hanging: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b as digests) between the components that hang together."""
+    groups = components(hanging.filter("cid IS NULL").select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
+    named = hanging.filter("cid IS NOT NULL").select("cid", F.col("la").alias("node")).join(groups, "node")
+    sized = named.select("cid", F.col("node").alias("label"), F.col("root").alias("token")).join(
+        texts.select("cid", F.octet_length("text").alias("bytes")), "cid"
+    )
+    sized = scratch.stored(sized, "sized")
+    bytes_of = scratch.stored(sized.groupBy("token", "label").agg(F.sum("bytes").alias("n")), "bytes")
+    lists = bytes_of.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
+    blocks = {k: F.ceil((F.col(n) + 1) / BLOCK_BYTES).cast("int") for k, n in (("parts", "others"), ("blocks", "n"))}
+    lists = scratch.stored(lists.withColumns(blocks).drop("n", "others"), "groups")
+    members = sized.drop("bytes").join(lists, "token").join(classes.select("cid", "signature"), "cid").join(texts, "cid")
+    dealt = dealt_blocks(scratch.stored(members, "grouped"), "token", ["cid", "label", "signature", "class", "text"])
+
+    def links(rows: pa.RecordBatch):
+        label, names, texts = rows.column("label").to_numpy(), rows.column("class"), rows.column("text")
+        joined, found = Joined(), []
+        for a, b, good in _retained(rows, threshold):
+            if not good.any():
+                continue
+            a, good = a[good.any(axis=1)], good[good.any(axis=1)]
+            b, good = b[good.any(axis=0)], good[:, good.any(axis=0)]
+            good &= similar(texts.take(pa.array(a)), texts.take(pa.array(b)), size, percent)
+            for i, near in zip(a, good):
+                found += [(names[i].as_py(), names[b[near][k]].as_py()) for k in joined.add(label[i], label[b[near]])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
 
+    return dealt.mapInArrow(tidy(_by_block(links)), "a binary, b binary")
 
-def _count_collisions(threshold: int):
-    """Retained pairs (a, b, hits, label of b) of each block (token, part, block);
-    a block's rows follow each other."""
 
-    def pairs(rows: pa.RecordBatch):
-        probe = rows.column("probe").to_numpy(zero_copy_only=False)
-        cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
-        inside = rows.column("inside").to_numpy(zero_copy_only=False)
-        signature = rows.column("signature").flatten().to_numpy().reshape(-1, K)
-        a, b = np.flatnonzero(probe), np.flatnonzero(~probe)
-        step = max(1, (1 << 18) // max(1, len(b)))
-        for low in range(0, len(a), step):
-            own = a[low : low + step]
+def dealt_blocks(members: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each probe of a key's members in one of `parts` and every one of `blocks`, each
+    member in one of `blocks` and every one of `parts`; rows of a block follow each other."""
+    one = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = [F.col(key).alias("token"), "part", "block", "probe", (F.col("label") == F.col("main")).alias("inside"), *columns]
+    probes = members.filter("label <> main").withColumns({"probe": F.lit(True), "part": one("parts")}).withColumn("block", every("blocks"))
+    others = members.withColumns({"probe": F.lit(False), "block": one("blocks")}).withColumn("part", every("parts"))
+    both = probes.select(*kept).union(others.select(*kept))
+    return both.repartition("token", "part", "block").sortWithinPartitions("token", "part", "block", "probe", "cid")
+
+
+class Joined:
+    """Components that a block has joined so far, and the edges that did it."""
+
+    def __init__(self):
+        self.root, self.edges = {}, []
+
+    def find(self, x: int) -> int:
+        while (up := self.root.setdefault(x, x)) != x:
+            self.root[x] = x = self.root[up] = self.root.setdefault(up, up)
+        return x
+
+    def add(self, label: int, others: np.ndarray) -> list[int]:
+        """Join a component with others; where among them new ones stand."""
+        new = []
+        for other, at in zip(*[x.tolist() for x in np.unique(others, return_index=True)]):
+            one, two = self.find(int(label)), self.find(other)
+            if one != two:
+                self.root[max(one, two)] = min(one, two)
+                self.edges.append((int(label), other))
+                new.append(at)
+        return new
+
+
+def _retained(rows: pa.RecordBatch, threshold: int):
+    """(probes, others, which pairs are retained) in slices of bounded size;
+    pairs of one component are left out, and each pair of probes stands once."""
+    probe = rows.column("probe").to_numpy(zero_copy_only=False)
+    cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
+    inside = rows.column("inside").to_numpy(zero_copy_only=False)
+    signature = rows.column("signature").flatten().to_numpy().reshape(-1, K)
+    a, b = np.flatnonzero(probe), np.flatnonzero(~probe)
+    step = max(1, (1 << 18) // max(1, len(b)))
+    for low in range(0, len(a), step):
+        own = a[low : low + step]
+        if len(own) * len(b) <= 64:
+            hits = (signature[own][:, None, :] == signature[b][None, :, :]).sum(2)
+        else:
             hits = np.zeros((len(own), len(b)), np.uint8)
-            for k in range(K) if hits.size > 64 else ():
+            for k in range(K):
                 hits += signature[own, k][:, None] == signature[b, k][None, :]
-            if hits.size <= 64:
-                hits = (signature[own][:, None, :] == signature[b][None, :, :]).sum(2)
-            good = (hits >= threshold) & (label[own][:, None] != label[b][None, :])
-            good &= inside[b][None, :] | (cid[own][:, None] < cid[b][None, :])
-            i, j = np.nonzero(good)
-            if len(i):
-                columns = [cid[own[i]], cid[b[j]], hits[i, j].astype(np.int32), label[b[j]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "hits", "lb"])
-
-    def count(batches):
+        good = (hits >= threshold) & (label[own][:, None] != label[b][None, :])
+        yield own, b, good & (inside[b][None, :] | (cid[own][:, None] < cid[b][None, :]))
+
+
+def _by_block(handle):
+    """A batch function that gives `handle` the rows of each (token, part, block)."""
+
+    def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             if not table.num_rows:
                 continue
             keys = [table.column(c).to_numpy() for c in ("token", "part", "block")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cuts = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()
             rows = table.to_batches()[0]
             for low, high in zip([0, *cuts[:-1]], cuts):
-                yield from pairs(rows.slice(low, high - low))
-            held = rows.slice(cuts[-1] if len(cuts) else 0)
+                yield from handle(rows.slice(low, high - low))
+            held = rows.slice(cuts[-1] if cuts else 0)
         if held is not None:
-            yield from pairs(held)
-
-    return count
+            yield from handle(held)
+
+    return run
+
+
+def similar(one: pa.Array, two: pa.Array, size: int, percent: int) -> np.ndarray:
+    """Which texts of `one` are similar enough to which of `two`, by their sets
+    of runs of words: products of 0/1 matrices, taken in slices of the runs that
+    more than one text has."""
+    n = len(one)
+    first, key, of, bounds = _runs_of(pa.concat_arrays([one, two]), size)
+    whole = np.unique(np.stack((key, of), 1), axis=0) if len(key) else np.zeros((0, 2), np.int64)
+    sizes = np.bincount(whole[:, 1], minlength=n + len(two))
+    feature = np.cumsum(np.append(True, whole[1:, 0] != whole[:-1, 0])) - 1 if len(whole) else np.zeros(0, np.int64)
+    common = np.bincount(feature)[feature] > 1 if len(feature) else np.zeros(0, bool)
+    feature, of = feature[common], whole[common, 1]
+    if len(feature):
+        feature = np.cumsum(np.append(True, feature[1:] != feature[:-1])) - 1
+    both = np.zeros((n, len(two)), np.int64)
+    width = 2048
+    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, width):
+        i, j = np.searchsorted(feature, [low, low + width])
+        part = np.zeros((n + len(two), width), np.float32)
+        part[of[i:j], feature[i:j] - low] = 1
+        both += (part[:n] @ part[n:].T).astype(np.int64)
+    return (both > 0) & (100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both))
+
+
+def _runs_of(texts: pa.Array, size: int):
+    """First words of all runs of `size` words, their exact keys, their texts, and bounds."""
+    ((_, _, block),) = text_blocks(texts, limit=1 << 62)
+    of = block.of_word()
+    first, key = exact_runs(block.words(fold_case=True)[1], of, size, apart=False)
+    return first, key, of[first], np.searchsorted(of[first], np.arange(block.n + 1))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -257,13 +369,10 @@ def _runs(heads: list, texts: pa.Array, limit: int = 2 << 20):
 
 def linked(texts: pa.Array, size: int, percent: int) -> list[int]:
     """Which of the texts after the first are similar enough to it."""
-    ((_, _, block),) = text_blocks(texts, limit=1 << 62)
-    of = block.of_word()
-    first, key = exact_runs(block.words(fold_case=True)[1], of, size, apart=False)
-    bounds = np.searchsorted(of[first], np.arange(block.n + 1))
+    _, key, _, bounds = _runs_of(texts, size)
     head = np.unique(key[: bounds[1]])
     found = []
-    for k in range(1, block.n):
+    for k in range(1, len(texts)):
         own = np.unique(key[bounds[k] : bounds[k + 1]])
         both = len(np.intersect1d(head, own, assume_unique=True))
         if both and 100 * both >= percent * (len(head) + len(own) - both):
@@ -298,20 +407,10 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = scratch.stored(retained(head_pairs(posted, scratch), classes, threshold), "pairs")
     links = scratch.stored(confirmed(pairs, texts, size, percent, scratch), "links")
     roots, labels = merge(links)
-    met = scratch.stored(probe_pairs(posted, labels, classes, threshold, scratch), "met")
-    met = scratch.stored(met.join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti"), "met")
-    if met.limit(1).count():
-        best = met.groupBy("a", "lb").agg(F.max_by("b", F.struct("hits", "b")).alias("b")).select("a", "b")
-        best = scratch.stored(best.distinct(), "best")
-        links = scratch.stored(links.union(confirmed(best, texts, size, percent, scratch)), "links")
-        roots, labels = merge(links)
-        label_of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        rest = met.select("a", "b").join(best, ["a", "b"], "left_anti").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
-        rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        rest = scratch.stored(rest, "rest")
-        if rest.limit(1).count():
-            links = scratch.stored(links.union(confirmed(rest, texts, size, percent, scratch)), "links")
-            roots, _ = merge(links)
+    hanging = scratch.stored(open_lists(posted, labels, classes, threshold, scratch), "hanging")
+    if hanging.limit(1).count():
+        more = group_links(hanging, classes.select("cid", "signature"), texts, size, percent, threshold, scratch)
+        roots, _ = merge(scratch.stored(links.union(more), "links"))
     firsts = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
     least = scratch.stored(firsts.groupBy("root").agg(F.min("first").alias("least")), "least")
     reached = scratch.stored(firsts.join(least, "root").select(F.col("node").alias("class"), "least"), "reached")
