@@ -61,7 +61,7 @@ SHINGLE_WORDS = 5
 K = 64
 MISS = 1e-6
 #: Probes of a list that one task compares with eight times as many of its members.
-BLOCK = 128
+BLOCK = 512
 #: Bytes of probes' texts, and of members' texts, that one task compares.
 BLOCK_BYTES = 1 << 20
 #: Partners of a head that share one copy of its text.
@@ -156,7 +156,7 @@ def head_pairs(posted: DataFrame, scratch: Scratch) -> DataFrame:
     return nearest.select("a", F.col("cid").alias("b"))
 
 
-def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, percent: int, scratch: Scratch) -> DataFrame:
     """(cid, la, lb) of the lists that have several components: with a cid, it
     retains a pair with another component; without, the components la and lb
     hang together."""
@@ -168,13 +168,13 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, thresho
     )
     blocks = {"parts": F.ceil(F.col("others") / BLOCK).cast("int"), "blocks": F.ceil(F.col("n") / (8 * BLOCK)).cast("int")}
     lists = scratch.stored(lists.filter("others > 0").withColumns(blocks).drop("n", "others"), "lists")
-    members = scratch.stored(named.join(lists, "token").join(classes.select("cid", "signature"), "cid"), "members")
-    dealt = dealt_blocks(members, "token", ["cid", "label", "signature"])
+    members = scratch.stored(named.join(lists, "token").join(classes.select("cid", "signature", F.col("n").alias("size")), "cid"), "members")
+    dealt = dealt_blocks(members, "token", ["cid", "label", "size", "signature"])
 
     def touched(rows: pa.RecordBatch):
         cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
         met, joined = np.zeros(len(cid), bool), Joined()
-        for a, b, good in _retained(rows, threshold):
+        for a, b, good in _retained(rows, threshold, percent):
             met[a[good.any(axis=1)]] = met[b[good.any(axis=0)]] = True
             for i, near in zip(a, good):
                 joined.add(label[i], label[b[near]])
@@ -199,13 +199,13 @@ def group_links(hanging: DataFrame, classes: DataFrame, texts: DataFrame, size:
     lists = bytes_of.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
     blocks = {k: F.ceil((F.col(n) + 1) / BLOCK_BYTES).cast("int") for k, n in (("parts", "others"), ("blocks", "n"))}
     lists = scratch.stored(lists.withColumns(blocks).drop("n", "others"), "groups")
-    members = sized.drop("bytes").join(lists, "token").join(classes.select("cid", "signature"), "cid").join(texts, "cid")
-    dealt = dealt_blocks(scratch.stored(members, "grouped"), "token", ["cid", "label", "signature", "class", "text"])
+    members = sized.drop("bytes").join(lists, "token").join(classes.select("cid", "signature", F.col("n").alias("size")), "cid").join(texts, "cid")
+    dealt = dealt_blocks(scratch.stored(members, "grouped"), "token", ["cid", "label", "size", "signature", "class", "text"])
 
     def links(rows: pa.RecordBatch):
         label, names, texts = rows.column("label").to_numpy(), rows.column("class"), rows.column("text")
         joined, found = Joined(), []
-        for a, b, good in _retained(rows, threshold):
+        for a, b, good in _retained(rows, threshold, percent):
             if not good.any():
                 continue
             a, good = a[good.any(axis=1)], good[good.any(axis=1)]
@@ -254,13 +254,15 @@ class Joined:
         return new
 
 
-def _retained(rows: pa.RecordBatch, threshold: int):
+def _retained(rows: pa.RecordBatch, threshold: int, percent: int):
     """(probes, others, which pairs are retained) in slices of bounded size;
-    pairs of one component are left out, and each pair of probes stands once."""
+    pairs of one component are left out, and so are those whose sets are of too
+    different sizes; each pair of probes stands once."""
     probe = rows.column("probe").to_numpy(zero_copy_only=False)
     cid, label = rows.column("cid").to_numpy(), rows.column("label").to_numpy()
     inside = rows.column("inside").to_numpy(zero_copy_only=False)
     signature = rows.column("signature").flatten().to_numpy().reshape(-1, K)
+    size = rows.column("size").to_numpy()
     a, b = np.flatnonzero(probe), np.flatnonzero(~probe)
     step = max(1, (1 << 18) // max(1, len(b)))
     for low in range(0, len(a), step):
@@ -272,6 +274,8 @@ def _retained(rows: pa.RecordBatch, threshold: int):
             for k in range(K):
                 hits += signature[own, k][:, None] == signature[b, k][None, :]
         good = (hits >= threshold) & (label[own][:, None] != label[b][None, :])
+        small, large = np.minimum(size[own][:, None], size[b][None, :]), np.maximum(size[own][:, None], size[b][None, :])
+        good &= 100 * small >= percent * large
         yield own, b, good & (inside[b][None, :] | (cid[own][:, None] < cid[b][None, :]))
 
 
@@ -390,11 +394,11 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = kept.stored(
         prints.filter("n_shingles > 0")
         .groupBy("class")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
         .withColumn("cid", F.xxhash64("class")),
         "classes",
     )
-    posted = scratch.stored(posted_prefixes(classes.select("cid", "signature"), threshold, scratch), "posted")
+    posted = scratch.stored(posted_prefixes(classes, threshold, scratch), "posted")
     texts = scratch.stored(class_texts(docs, classes, posted), "texts")
     ids = classes.select("cid", "class")
 
@@ -407,9 +411,9 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = scratch.stored(retained(head_pairs(posted, scratch), classes, threshold), "pairs")
     links = scratch.stored(confirmed(pairs, texts, size, percent, scratch), "links")
     roots, labels = merge(links)
-    hanging = scratch.stored(open_lists(posted, labels, classes, threshold, scratch), "hanging")
+    hanging = scratch.stored(open_lists(posted, labels, classes, threshold, percent, scratch), "hanging")
     if hanging.limit(1).count():
-        more = group_links(hanging, classes.select("cid", "signature"), texts, size, percent, threshold, scratch)
+        more = group_links(hanging, classes, texts, size, percent, threshold, scratch)
         roots, _ = merge(scratch.stored(links.union(more), "links"))
     firsts = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
     least = scratch.stored(firsts.groupBy("root").agg(F.min("first").alias("least")), "least")
