@@ -7,13 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def _root(spark) -> str:
+    """The session's shared folder; one of our own is right only where driver and executors are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or f"file://{tempfile.gettempdir()}/tessera-checkpoints"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of `df` under spark.checkpoint.dir; a folder of our
     own is set only where that setting is missing."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(root or f"file://{tempfile.gettempdir()}/tessera-checkpoints")
+        context.setCheckpointDir(_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -21,5 +28,4 @@ def workspace(spark, tag: str) -> str:
     """A new path in the shared folder."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-checkpoints"
-    return f"{root.rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
+    return f"{_root(spark).rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex}"
