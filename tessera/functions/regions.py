@@ -26,10 +26,13 @@ class Region(Protocol):
 
     def bounding_box(self) -> Box | None: ...
 
+    # Optional, for boxes outside Spark: `reaches(dims)`, a list (any of) of lists (all of) of half-spaces (normal, d). A box
+    # meets one if n . p + d >= 0 for some point p in it.
+
 
 class BoxRegion:
     def __init__(self, *bounds: float):
-        self.box = box(*bounds)
+        self.bounds, self.box = [float(v) for v in bounds], box(*bounds)
 
     def overlaps_box(self, b: Box) -> Column:
         return overlaps(b, self.box)
@@ -40,6 +43,15 @@ class BoxRegion:
     def bounding_box(self) -> Box:
         return self.box
 
+    def reaches(self, dims: int) -> list:
+        return [_box_reaches(self.bounds)]
+
+
+def _box_reaches(bounds: Sequence[float]) -> list:
+    dims = len(bounds) // 2
+    unit = np.eye(dims)
+    return [(unit[k], -bounds[k]) for k in range(dims)] + [(-unit[k], bounds[dims + k]) for k in range(dims)]
+
 
 def _dot_range(b: Box, nx: float, ny: float) -> tuple[Column, Column]:
     """Least and greatest value of n . p over the points of a 2D box; the signs
@@ -76,6 +88,16 @@ class ConvexPolygon:
                 tests.append((low <= number(max(own))) & (high >= number(min(own))))
         return all_of(tests)
 
+    def reaches(self, dims: int) -> list:
+        if len(self.corners) < 3:
+            return []
+        xs, ys = zip(*self.corners)
+        found = _box_reaches([min(xs), min(ys), max(xs), max(ys)])
+        for nx, ny in self._normals():
+            own = [nx * x + ny * y for x, y in self.corners]
+            found += [(np.array([nx, ny]), -min(own)), (np.array([-nx, -ny]), max(own))]
+        return [found]
+
     def contains_box(self, b: Box) -> Column:
         """Every corner of the box lies on the inner side of every edge."""
         area = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(self.corners, self.corners[1:] + self.corners[:1]))
@@ -133,6 +155,9 @@ class Frustum:
     def bounding_box(self) -> None:
         return None
 
+    def reaches(self, dims: int) -> list:
+        return [[(np.array(n), d) for *n, d in self.planes]]
+
     def corners_box(self) -> tuple[float, ...] | None:
         """Bounds of the eight corners, or None if planes are (nearly) parallel."""
         planes, found = np.array(self.planes), []
@@ -157,5 +182,8 @@ class AnyRegion:
     def contains_box(self, b: Box) -> Column:
         return any_of([r.contains_box(b) for r in self.regions]) if self.regions else F.lit(False)
 
+    def reaches(self, dims: int) -> list:
+        return [one for r in self.regions for one in r.reaches(dims)]
+
     def bounding_box(self) -> None:
         return None

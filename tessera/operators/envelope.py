@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.sources.wkb import wkb_bounds
 
+#: A column of WKB bounds; features that have it already aren't decoded again.
+MEASURED = "__bounds"
 POLICIES = ("planar", "reject", "split", "expand")
 
 
@@ -15,9 +17,14 @@ class EnvelopeError(ValueError):
     pass
 
 
+def measured(features: DataFrame) -> DataFrame:
+    """Features with their bounds beside them."""
+    return features if MEASURED in features.columns else features.withColumn(MEASURED, wkb_bounds(F.col("geometry")))
+
+
 def detected_dims(bounds: DataFrame) -> str:
     """xy, xyz, xym or xyzm over all geometries."""
-    found = bounds.agg(F.bool_or("b.has_z").alias("z"), F.bool_or("b.has_m").alias("m")).first()
+    found = bounds.agg(F.bool_or("__bounds.has_z").alias("z"), F.bool_or("__bounds.has_m").alias("m")).first()
     return "xy" + "z" * bool(found.z) + "m" * bool(found.m)
 
 
@@ -33,23 +40,23 @@ def scan_envelopes(features: DataFrame, nulls: str = "skip", policy: str = "plan
     """
     if policy not in POLICIES or nulls not in ("skip", "error") or dims not in ("auto", "2d", "3d"):
         raise EnvelopeError(f"unknown option: {nulls}, {policy}, {dims}")
-    rows = features.withColumn("b", wkb_bounds(F.col("geometry")))
+    rows = measured(features)
     if nulls == "error":
-        rows = rows.withColumn("b", F.when(F.col("b.kind").isNull(), F.raise_error(F.lit("a geometry is null or empty"))).otherwise(F.col("b")))
-    rows = rows.filter(F.col("b.kind").isNotNull())
+        rows = rows.withColumn(MEASURED, F.when(F.col("__bounds.kind").isNull(), F.raise_error(F.lit("a geometry is null or empty"))).otherwise(F.col(MEASURED)))
+    rows = rows.filter(F.col("__bounds.kind").isNotNull())
     if dims == "auto":
         dims = "3d" if "z" in detected_dims(rows) else "2d"
-    crossing = F.col("b.west") > F.col("b.east")
+    crossing = F.col("__bounds.west") > F.col("__bounds.east")
     part = F.lit(None).cast("int")
-    plain = F.struct(F.col("b.min_x").alias("min_x"), F.col("b.max_x").alias("max_x"), part.alias("part"))
-    arc = F.struct(F.col("b.west").alias("min_x"), F.col("b.east").alias("max_x"), part.alias("part"))
+    plain = F.struct(F.col("__bounds.min_x").alias("min_x"), F.col("__bounds.max_x").alias("max_x"), part.alias("part"))
+    arc = F.struct(F.col("__bounds.west").alias("min_x"), F.col("__bounds.east").alias("max_x"), part.alias("part"))
     if policy == "planar":
         spans = F.array(plain)
     elif policy == "reject":
         spans = F.array(F.when(crossing, F.raise_error(F.lit("a geometry crosses the antimeridian"))).otherwise(arc))
     elif policy == "split":
-        one = F.struct(F.col("b.west").alias("min_x"), F.lit(180.0).alias("max_x"), F.lit(0).alias("part"))
-        two = F.struct(F.lit(-180.0).alias("min_x"), F.col("b.east").alias("max_x"), F.lit(1).alias("part"))
+        one = F.struct(F.col("__bounds.west").alias("min_x"), F.lit(180.0).alias("max_x"), F.lit(0).alias("part"))
+        two = F.struct(F.lit(-180.0).alias("min_x"), F.col("__bounds.east").alias("max_x"), F.lit(1).alias("part"))
         spans = F.when(crossing, F.array(one, two)).otherwise(F.array(arc))
     else:
         world = F.struct(F.lit(-180.0).alias("min_x"), F.lit(180.0).alias("max_x"), part.alias("part"))
@@ -58,8 +65,8 @@ def scan_envelopes(features: DataFrame, nulls: str = "skip", policy: str = "plan
     z = {}
     if dims == "3d":
         missing = F.raise_error(F.lit("a geometry has no z"))
-        z = {f"{s}_z": F.when(F.col("b.has_z"), F.col(f"b.{s}_z")).otherwise(missing.cast("double")) for s in ("min", "max")}
-    kept = [c for c in features.columns if c not in ("part", "min_x", "min_y", "max_x", "max_y", "min_z", "max_z")]
-    low = [F.col("span.min_x").alias("min_x"), F.col("b.min_y").alias("min_y"), *([z["min_z"].alias("min_z")] if z else [])]
-    high = [F.col("span.max_x").alias("max_x"), F.col("b.max_y").alias("max_y"), *([z["max_z"].alias("max_z")] if z else [])]
-    return rows.select(*low, *high, F.col("span.part").alias("part"), *kept, F.col("b.kind").alias("geometry_kind"))
+        z = {f"{s}_z": F.when(F.col("__bounds.has_z"), F.col(f"__bounds.{s}_z")).otherwise(missing.cast("double")) for s in ("min", "max")}
+    kept = [c for c in features.columns if c not in (MEASURED, "part", "min_x", "min_y", "max_x", "max_y", "min_z", "max_z")]
+    low = [F.col("span.min_x").alias("min_x"), F.col("__bounds.min_y").alias("min_y"), *([z["min_z"].alias("min_z")] if z else [])]
+    high = [F.col("span.max_x").alias("max_x"), F.col("__bounds.max_y").alias("max_y"), *([z["max_z"].alias("max_z")] if z else [])]
+    return rows.select(*low, *high, F.col("span.part").alias("part"), *kept, F.col("__bounds.kind").alias("geometry_kind"))

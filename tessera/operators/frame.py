@@ -149,6 +149,15 @@ class SpatialFrame:
         ids = self.search_single(*bounds).select(self.item_id)
         return exact.search(*bounds).join(ids, self.item_id, "left_semi")
 
+    def any_exact(self, exact: SpatialFrame, *bounds: float) -> bool:
+        return not self.search_exact(exact, *bounds).isEmpty()
+
+    def first_exact(self, exact: SpatialFrame, *bounds: float) -> int | None:
+        return self.search_exact(exact, *bounds).agg(F.min(self.item_id)).first()[0]
+
+    def visit_exact(self, exact: SpatialFrame, visitor: Callable[[Row], bool | None], *bounds: float) -> bool:
+        return any(visitor(row) for row in self.search_exact(exact, *bounds).toLocalIterator())
+
     def any(self, *bounds: float) -> bool:
         return not self.search(*bounds).isEmpty()
 
@@ -194,6 +203,19 @@ class SpatialFrame:
         most = None if max_distance is None else max_distance * max_distance
         return self._nearest(distance_squared(self.box, point), k, most, "distance_squared")
 
+    def neighbors_exact(self, exact: SpatialFrame, point: Sequence[float], k: int, max_distance: float | None = None) -> DataFrame:
+        """For frames of singles: the k nearest by the exact boxes. Rounded boxes are never further than exact ones,
+        so the k-th exact distance of any k rows bounds which rounded boxes can hold a nearer one."""
+        ids = self.neighbors(point, k, max_distance).select(self.item_id)
+        first = exact.df.join(F.broadcast(ids), self.item_id, "left_semi").agg(F.max(distance_squared(exact.box, point)), F.count(F.lit(1))).first()
+        if not all(map(math.isfinite, point)) or max_distance is not None and not max_distance >= 0:
+            return exact.neighbors(point, k, max_distance)
+        near = self.df
+        if first[1] >= k and first[0] is not None:
+            near = near.filter(distance_squared(self.box, point) <= F.lit(float(first[0])))
+        rest = exact.df.join(near.select(self.item_id), self.item_id, "left_semi")
+        return SpatialFrame(rest, self.dims, self.item_id).neighbors(point, k, max_distance)
+
     def neighbors_of_box(self, bounds: Sequence[float], k: int | None, max_distance: float | None = None) -> DataFrame:
         if max_distance is not None and not max_distance >= 0:
             return self.df.limit(0).withColumn("distance_squared", F.lit(0.0))

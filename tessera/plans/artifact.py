@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import box, box_names, overlaps
 from tessera.functions.geodesy import radius_boxes
+from tessera.functions.rays import Ray
 from tessera.functions.regions import Region
-from tessera.operators.envelope import scan_envelopes
+from tessera.operators.envelope import measured, scan_envelopes
 from tessera.operators.exact import Area, RectanglesMeet, check_planar, intersects, is_projected, within_radius
 from tessera.operators.frame import SpatialFrame
 
+from .staging import discard, workspace
+
 PLANS = ("none", "row-ref", "row-wkb", "feature-json")
 #: Canonical order of entries; missing parts and ids come first.
 ORDER = ("row_number", "feature_id", "part", "entry_id")
@@ -144,7 +147,12 @@ def convert(
     precision: str = "f64", rows_per_file: int | None = None, edges: str = "planar", crs: str | None = None,
     fingerprint: str | None = None, content_type: str | None = None, attribution: str | None = None,
 ) -> Artifact:
+    """Writes the artifact. Geometries are decoded once: features are stored with their bounds first, and what
+    counts, sorts and writes the entries reads those."""
     spark = features.sparkSession
+    shelf = workspace(spark, "features")
+    measured(features).write.parquet(shelf)
+    features = spark.read.parquet(shelf)
     entries = index_features(features, payload, nulls, policy, dims)
     own_dims = 3 if "min_z" in entries.columns else 2
     frame = SpatialFrame.build(entries, own_dims, "entry_id")
@@ -153,6 +161,7 @@ def convert(
     elif precision != "f64":
         raise ArtifactError(f"unknown precision {precision}")
     frame.write(f"{path}/entries", rows_per_file)
+    discard(spark, shelf)
     stored = SpatialFrame.read(spark, f"{path}/entries", own_dims, "entry_id")
     refs = payload != "none"
     sums = stored.df.agg(
@@ -251,7 +260,7 @@ class Artifact:
         """Matches whose stored geometry meets the query."""
         if "geometry" not in self.frame.df.columns:
             raise UnsupportedArtifact("the artifact stores no geometry")
-        found = self._found(query)
+        found = self._found(query, "bbox")
         if query.kind == "radius":
             return found.filter(within_radius(F.col("geometry"), *query.value))
         if query.kind == "box3d":
@@ -259,6 +268,32 @@ class Artifact:
         check_planar(self.manifest.edges, treat_as_planar)
         return found.filter(intersects(F.col("geometry"), query.area()))
 
+    def payload_headers(self, query: Query | Region) -> DataFrame:
+        """Ids and lengths of stored bodies, by id; no reference is read, so any payload plan will do."""
+        stored = [c for c in ("geometry", "properties") if c in self.frame.df.columns]
+        length = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in stored), F.lit(0).cast("long"))
+        return self._found(query).select("entry_id", length.alias("payload_len")).orderBy("entry_id")
+
+    def payload_header_page(self, query: Query | Region, offset: int, limit: int) -> tuple[int, DataFrame]:
+        return self.count_entries(query), self.payload_headers(query).offset(offset).limit(limit)
+
+    def _ray(self, ray: Ray) -> DataFrame:
+        self._needs_refs()
+        if len(ray.origin) != self.manifest.dims:
+            raise UnsupportedArtifact(f"the artifact has {self.manifest.dims} dimensions")
+        return self.frame.raycast(ray).select("entry_id", "row_number", "part", "feature_id", "t")
+
+    def raycast(self, ray: Ray) -> DataFrame:
+        """References of the entries that a ray meets, with t; single-precision boxes may add some."""
+        return self._ray(ray)
+
+    def raycast_closest(self, ray: Ray) -> DataFrame:
+        """The entry met first, of equal t the one with the smaller id; needs double precision."""
+        if self.manifest.precision == "f32":
+            raise UnsupportedArtifact("rounded boxes don't tell which is met first")
+        best = self._ray(ray).agg(F.min(F.struct("t", "entry_id", "row_number", "part", "feature_id")).alias("m"))
+        return best.filter("m IS NOT NULL").select("m.entry_id", "m.row_number", "m.part", "m.feature_id", "m.t")
+
     def nearest(self, point: tuple[float, ...], k: int) -> DataFrame:
         self._needs_refs()
         return self.frame.neighbors(point, k).select("entry_id", "row_number", "part", "feature_id", "distance_squared")

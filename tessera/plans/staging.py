@@ -24,6 +24,12 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def workspace(spark, tag: str) -> str:
     """A new path in the shared folder."""
     import uuid

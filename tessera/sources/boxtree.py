@@ -269,10 +269,30 @@ class Tree:
                 yield int(part[0]), int(part[-1]) + 1
 
     def search(self, window: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, leaf ranks) that meet a window, level by level from the root;
-        only the nodes in question are read."""
+        """(ids, leaf ranks) that meet a window; one with NaN meets nothing."""
         w = np.asarray(window, np.float64)
-        if not self.items or np.isnan(w).any():
+        if np.isnan(w).any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return self._descend(lambda b: (b[:, : self.dims] <= w[self.dims :]).all(axis=1) & (b[:, self.dims :] >= w[: self.dims]).all(axis=1))
+
+    def search_region(self, region) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, leaf ranks) that meet a region which says its half-spaces. A node's box holds its children's, so it
+        reaches at least as far."""
+        cases = region.reaches(self.dims)
+
+        def meets(boxes: np.ndarray) -> np.ndarray:
+            low, high = boxes[:, : self.dims], boxes[:, self.dims :]
+            far = lambda n, d: (np.where(n >= 0, high, low) * n).sum(axis=1) + d >= 0
+            found = np.zeros(len(boxes), bool)
+            for case in cases:
+                found |= np.logical_and.reduce([far(np.asarray(n, float), d) for n, d in case])
+            return found
+
+        return self._descend(meets)
+
+    def _descend(self, test) -> tuple[np.ndarray, np.ndarray]:
+        """Level by level from the root; only the nodes in question are read."""
+        if not self.items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         level, front = len(self.ends) - 1, np.array([self.nodes - 1])
         if level == 0:
@@ -282,8 +302,7 @@ class Tree:
             for low, high in self._runs(front, self.record + 8):
                 boxes, links = self.node_range(low, high)
                 asked = np.isin(np.arange(low, high), front)
-                meets = (boxes[:, : self.dims] <= w[self.dims :]).all(axis=1) & (boxes[:, self.dims :] >= w[: self.dims]).all(axis=1)
-                keep = np.flatnonzero(asked & meets)
+                keep = np.flatnonzero(asked & test(boxes))
                 hit_nodes.append(keep + low)
                 hit_links.append(links[keep])
             nodes, links = np.concatenate(hit_nodes), np.concatenate(hit_links)
@@ -305,18 +324,23 @@ class Tree:
         if self.payload is None:
             raise LoadError("the file has no payloads")
         at, n, stride, table = self.payload
-        found = []
-        for r in ranks:
-            if not 0 <= r < self.items:
-                raise IndexError(f"no leaf {r}")
+        asked = np.asarray(ranks, np.int64)
+        if len(asked) and not (0 <= asked.min() and asked.max() < self.items):
+            raise IndexError("no such leaf")
+        found: dict[int, bytes] = {}
+        # Neighbouring leaves share a read of the table and one of the bodies.
+        for low, high in self._runs(np.unique(asked), stride or 16):
             if stride:
-                found.append(self._read(at + stride * r, stride))
+                ends = np.arange(high - low + 1, dtype=np.int64) * stride + stride * low
             else:
-                low, high = struct.unpack("<QQ", self._read(table + 8 * r, 16))
-                if not low <= high <= n:
+                ends = np.frombuffer(self._read(table + 8 * low, 8 * (high - low + 1)), "<u8").astype(np.int64)
+                if (np.diff(ends) < 0).any() or ends[0] < 0 or ends[-1] > n:
                     raise LoadError("a payload lies outside its chunk")
-                found.append(self._read(at + low, high - low))
-        return found
+            first = int(ends[0])
+            raw = self._read(at + first, int(ends[-1]) - first)
+            for r, a, b in zip(range(low, high), ends[:-1].tolist(), ends[1:].tolist()):
+                found[r] = raw[a - first : b - first]
+        return [found[r] for r in asked.tolist()]
 
     def prefix_at(self, ranks: Sequence[int], length: int) -> list[bytes]:
         """The first bytes of payloads, from the prefix chunk where it has them."""
@@ -496,22 +520,24 @@ def pack_containers(df, dims: int = 2, item_id: str = "item_id", node_size: int
     return df.select(item_id, *names).mapInPandas(pack, schema)
 
 
-def search_containers(containers, window: Sequence[float]):
-    """item_id of every match: containers whose bounds miss the window are
-    pruned by the scan, the others are descended from their roots."""
+def search_containers(containers, where):
+    """item_id of every match of a window or region: containers whose bounds miss
+    it are pruned by the scan, the others are descended from their roots."""
     import pandas as pd
 
     from tessera.functions.boxes import box, box_columns, overlaps
 
-    dims, bounds = len(window) // 2, [float(v) for v in window]
+    region = where if hasattr(where, "reaches") else None
+    dims = 3 if "min_z" in containers.columns else 2
 
     def search(frames):
         for frame in frames:
             for data in frame["container"]:
                 tree = open_tree(BytesReader(bytes(data)))
-                _, ranks = tree.search(bounds)
+                _, ranks = tree.search([float(v) for v in where]) if region is None else tree.search_region(region)
                 ids = [struct.unpack("<q", p)[0] for p in tree.payload_at(ranks.tolist())]
                 yield pd.DataFrame({"item_id": np.array(ids, np.int64)})
 
-    near = containers.filter(overlaps(box_columns(dims), box(*bounds)))
+    own = box_columns(dims)
+    near = containers.filter(overlaps(own, box(*where)) if region is None else region.overlaps_box(own))
     return near.select("container").mapInPandas(search, "item_id long")

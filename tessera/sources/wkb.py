@@ -215,10 +215,31 @@ def bounds(data: bytes | None) -> tuple | None:
     return (x0, y0, None if z is None else float(z.min()), x1, y1, None if z is None else float(z.max()), west, east, g.kind, g.has_z, g.has_m)
 
 
+# Fixed value: how a little-endian point without Z or M begins.
+POINT_HEAD = b"\x01\x01\x00\x00\x00"
+
+
+def plain_points(data: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and coordinates of the little-endian points without Z or M in a batch, read at one go. Those that
+    aren't finite are left to `decode`, as is everything else."""
+    at = np.array([k for k, x in enumerate(data) if x is not None and len(x) == 21 and x[:5] == POINT_HEAD], np.int64)
+    raw = np.frombuffer(b"".join(data[k] for k in at), np.dtype([("head", "V5"), ("xy", "<f8", 2)]))
+    points = raw["xy"].astype(np.float64).reshape(-1, 2)
+    good = np.isfinite(points).all(axis=1)
+    return at[good], points[good]
+
+
 @F.pandas_udf(BOUNDS)
 def wkb_bounds(data: pd.Series) -> pd.DataFrame:
-    rows = [bounds(x) for x in data]
-    return pd.DataFrame([r if r else (None,) * len(BOUNDS) for r in rows], columns=BOUNDS.names)
+    raw = data.tolist()
+    at, points = plain_points(raw)
+    (x, y), none = points.T, np.full(len(at), np.nan)
+    found = pd.DataFrame(dict(zip(BOUNDS.names, (x, y, none, x, y, none, x, x))), index=at).assign(kind="Point", has_z=False, has_m=False)
+    rest = np.setdiff1d(np.arange(len(raw)), at)
+    if not len(rest):
+        return found
+    others = pd.DataFrame([bounds(raw[k]) or (None,) * len(BOUNDS) for k in rest], columns=BOUNDS.names, index=rest)
+    return others if not len(at) else pd.concat([found.astype(object), others.astype(object)]).sort_index()
 
 
 @F.pandas_udf(T.BinaryType())
