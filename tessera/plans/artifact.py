@@ -22,13 +22,14 @@ from tessera.functions.boxes import box, box_names, overlaps
 from tessera.functions.geodesy import radius_boxes
 from tessera.functions.rays import Ray
 from tessera.functions.regions import Region
-from tessera.operators.envelope import measured, scan_envelopes
+from tessera.operators.envelope import MEASURED, measured, scan_envelopes
 from tessera.operators.exact import Area, RectanglesMeet, check_planar, intersects, is_projected, within_radius
 from tessera.operators.frame import SpatialFrame
 
 from .staging import discard, workspace
 
 PLANS = ("none", "row-ref", "row-wkb", "feature-json")
+BODIES = {"row-wkb": ["geometry"], "feature-json": ["geometry", "properties"]}
 #: Canonical order of entries; missing parts and ids come first.
 ORDER = ("row_number", "feature_id", "part", "entry_id")
 SCHEMA_VERSION = 1
@@ -130,7 +131,7 @@ def index_features(
         raise ArtifactError(f"unknown payload plan {payload}")
     entries = scan_envelopes(features, nulls, policy, dims)
     refs = [] if payload == "none" else ["row_number", "part", "feature_id"]
-    body = {"row-wkb": ["geometry"], "feature-json": ["geometry", "properties"]}.get(payload, [])
+    body = BODIES.get(payload, [])
     own_dims = 3 if "min_z" in entries.columns else 2
     by_row = F.xxhash64("row_number", F.coalesce("part", F.lit(-1)))
     # Ids are dense and follow the source: counts of buckets, then places in them.
@@ -151,7 +152,8 @@ def convert(
     counts, sorts and writes the entries reads those."""
     spark = features.sparkSession
     shelf = workspace(spark, "features")
-    measured(features).write.parquet(shelf)
+    wanted = ["row_number", "feature_id", MEASURED, *BODIES.get(payload, [])]
+    measured(features).select(*wanted).write.parquet(shelf)
     features = spark.read.parquet(shelf)
     entries = index_features(features, payload, nulls, policy, dims)
     own_dims = 3 if "min_z" in entries.columns else 2

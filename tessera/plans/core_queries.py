@@ -468,3 +468,80 @@ def windows_around_points(spark, sf):
     )
     found = joins.overlap_join(sites, derived(spark, sf, "boxes"))
     return found.groupBy(F.col("left_id").alias("query_id")).agg(F.min("right_id").alias("first_box"), F.count(F.lit(1)).alias("boxes"))
+
+
+# -- containers and singles ------------------------------------------------------
+
+
+def _containers(spark, sf, name, dims):
+    from tessera.sources.boxtree import pack_containers
+
+    from .staging import workspace
+
+    path = workspace(spark, "containers")
+    pack_containers(SpatialFrame.build(derived(spark, sf, name), dims).df, dims).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"{BOXES} SELECT item_id FROM boxes WHERE {_sat_sql(POLYGON)}")
+def container_polygon_search(spark, sf):
+    from tessera.sources.boxtree import search_containers
+
+    return search_containers(_containers(spark, sf, "boxes", 2), ConvexPolygon(POLYGON))
+
+
+@query(f"{BOXES3} SELECT item_id FROM boxes3 WHERE {_frustum_sql(PLANES)}")
+def container_frustum_search(spark, sf):
+    from tessera.sources.boxtree import search_containers
+
+    return search_containers(_containers(spark, sf, "boxes3", 3), Frustum(PLANES))
+
+
+@query(ORACLES["knn_embedding_points"])
+def single_knn_exact(spark, sf):
+    """Rounded boxes narrow the search, exact ones rank."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    p = e.select(F.col("vec_id").alias("item_id"), *[F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")])
+    exact = SpatialFrame.from_points(p, ["x", "y", "z"], curve=None)
+    found = exact.to_single().neighbors_exact(exact, (0.05, 0.0, -0.05), 8)
+    return rounded(found.select("item_id", "distance_squared"), "distance_squared", 9)
+
+
+@query(f"{BOXES} SELECT min(item_id) AS first_id, count(*) > 0 AS any_match FROM boxes WHERE {WINDOW}")
+def single_first_exact(spark, sf):
+    exact = frame(spark, sf)
+    single = exact.to_single()
+    found = (single.first_exact(exact, 200, 200, 300, 300), single.any_exact(exact, 200, 200, 300, 300))
+    return spark.createDataFrame([found], "first_id long, any_match boolean")
+
+
+@query(f"{BOXES} SELECT item_id, min_x <= max_x - 5 AND min_y <= max_y AS valid FROM boxes")
+def box_validity(spark, sf):
+    from tessera.functions.boxes import box_columns, is_valid
+
+    df = derived(spark, sf, "boxes").withColumn("max_x", F.col("max_x") - 5)
+    return df.select("item_id", is_valid(box_columns(2)).alias("valid"))
+
+
+_BITS3 = " | ".join(f"((({{c}} >> {k}) & 1) << {3 * k})" for k in range(16))
+
+
+@query(
+    f"""{BOXES}, c AS (SELECT item_id, ((item_id * 37) % 1000 * 65)::BIGINT AS x, ((item_id * 91) % 1000 * 65)::BIGINT AS y, ((item_id * 53) % 1000 * 65)::BIGINT AS z FROM boxes)
+SELECT item_id, ({_BITS3.format(c='x')}) | (({_BITS3.format(c='y')}) << 1) | (({_BITS3.format(c='z')}) << 2) AS morton FROM c"""
+)
+def morton_key_3d(spark, sf):
+    cells = [((F.col("item_id") * m) % 1000 * 65) for m in (37, 91, 53)]
+    return derived(spark, sf, "boxes").select("item_id", curves.morton(cells).alias("morton"))
+
+
+@query(f"{BOXES} SELECT item_id, item_id * 3 AS row_number, CASE WHEN item_id % 2 = 0 THEN item_id % 7 END::INTEGER AS part, 2::BIGINT AS body FROM boxes")
+def reference_codec(spark, sf):
+    """Written as bytes and read again, with a body behind."""
+    from tessera.sources.records import decode_reference, encode_reference, reference_body
+
+    part = F.when(F.col("item_id") % 2 == 0, (F.col("item_id") % 7).cast("int"))
+    none = F.lit(None).cast("long")
+    rows = derived(spark, sf, "boxes").select("item_id", encode_reference(F.col("item_id") * 3, none, none, part, F.lit("ab").cast("binary")).alias("p"))
+    found = rows.select("item_id", decode_reference("p").alias("r"), F.octet_length(reference_body("p")).cast("long").alias("body"))
+    return found.select("item_id", "r.row_number", "r.part", "body")

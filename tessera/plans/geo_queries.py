@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import box_names
+from tessera.functions.rays import Ray
 from tessera.operators.envelope import scan_envelopes
-from tessera.operators.exact import Area, intersects
+from tessera.operators.exact import Area, intersects, within_radius
+from tessera.sources.features import read_geojson_lines, read_parquet_features
 from tessera.sources.wkb import wkb_bounds, wkb_point, wkb_segment, wkb_to_json
 from tessera.streaming.points import locate_stream
 
 from . import service
 from .artifact import Query, convert, index_features, open_artifact, read_back
+from .core_queries import _slab_sql
 from .staging import workspace
 from .tables import derived, derived_sql
 
@@ -250,3 +253,124 @@ def geo_exact_multi_polygon(spark, sf):
     square = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
     area = Area([square(0, 0, 40, 40), square(-120, -40, -80, 0)])
     return points(spark, sf).filter(intersects(F.col("geometry"), area)).select("row_number")
+
+
+# -- rays, headers, three dimensions, sources --------------------------------------
+
+_RAY = f"{SPLIT}, h AS (SELECT row_number, coalesce(part, -1)::INTEGER AS part, {_slab_sql((-180, -90), (2, 1), 2, 180)} FROM entry)"
+RAY = Ray((-180.0, -90.0), (2.0, 1.0), 180.0)
+
+
+@query(f"{_RAY} SELECT row_number, part, round(t, 6) AS t FROM h WHERE still AND t <= far")
+def geo_raycast(spark, sf):
+    found = _artifact(spark, lines(spark, sf), payload="row-ref", policy="split").raycast(RAY)
+    return found.select("row_number", _part(), F.round("t", 6).alias("t"))
+
+
+@query(f"{_RAY} SELECT round(min(t), 6) AS t FROM h WHERE still AND t <= far")
+def geo_raycast_closest(spark, sf):
+    return _artifact(spark, lines(spark, sf), payload="row-ref", policy="split").raycast_closest(RAY).select(F.round("t", 6).alias("t"))
+
+
+@query(f"{PLACES}, e AS (SELECT *, (row_number() OVER (ORDER BY item_id) - 1)::BIGINT AS entry_id FROM places) SELECT entry_id, 21::BIGINT AS payload_len FROM e WHERE lon BETWEEN 100 AND 179 AND lat BETWEEN -30 AND 30 ORDER BY entry_id LIMIT 20 OFFSET 5")
+def geo_payload_header_page(spark, sf):
+    _, page = _artifact(spark, points(spark, sf)).payload_header_page(BOX, 5, 20)
+    return page
+
+
+@query(f"{PLACES} SELECT item_id AS row_number, name AS feature_id, 21::BIGINT AS bytes FROM places WHERE lon BETWEEN 100 AND 179 AND lat BETWEEN -30 AND 30")
+def geo_matches(spark, sf):
+    return _artifact(spark, points(spark, sf)).matches(BOX).select("row_number", "feature_id", F.octet_length("geometry").cast("long").alias("bytes"))
+
+
+def _pairs(spark, sf) -> DataFrame:
+    """Multipoints of a place and the place across the equator, 20 degrees east at most."""
+    both = F.concat(F.unhex(F.lit("010400000002000000")), wkb_point("lon", "lat"), wkb_point(F.least(F.col("lon") + 20, F.lit(180.0)), -F.col("lat")))
+    return derived(spark, sf, "places").select(F.col("item_id").alias("row_number"), both.alias("geometry"))
+
+
+_PAIRS = f"{PLACES}, p AS (SELECT item_id AS row_number, lon, lat, least(lon + 20, 180) AS lon2, -lat AS lat2 FROM places)"
+
+
+@query(f"{_PAIRS} SELECT row_number FROM p WHERE (lon BETWEEN 10 AND 70 AND lat BETWEEN 5 AND 45) OR (lon2 BETWEEN 10 AND 70 AND lat2 BETWEEN 5 AND 45)")
+def geo_exact_multipoint(spark, sf):
+    return _pairs(spark, sf).filter(intersects(F.col("geometry"), Area.box(10, 5, 70, 45))).select("row_number")
+
+
+def _metres_sql(lon: str, lat: str) -> str:
+    return f"2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({lat} - 20) / 2), 2) + cos(radians(20)) * cos(radians({lat})) * pow(sin(radians({lon} - 10) / 2), 2))))"
+
+
+@query(f"{_PAIRS} SELECT row_number FROM p WHERE {_metres_sql('lon', 'lat')} <= 2000000 OR {_metres_sql('lon2', 'lat2')} <= 2000000")
+def geo_radius_multipoint(spark, sf):
+    return _pairs(spark, sf).filter(within_radius(F.col("geometry"), 10.0, 20.0, 2_000_000.0)).select("row_number")
+
+
+def points3(spark, sf) -> DataFrame:
+    """Places at heights of 0 to 999."""
+    z = F.substring(wkb_point((F.col("item_id") % 1000).cast("double"), F.lit(0.0)), 6, 8)
+    raw = F.concat(F.unhex(F.lit("01E9030000")), F.substring(wkb_point("lon", "lat"), 6, 16), z)
+    return derived(spark, sf, "places").select(F.col("item_id").alias("row_number"), F.lit(None).cast("string").alias("feature_id"), raw.alias("geometry"))
+
+
+@query(f"{PLACES} SELECT item_id AS row_number FROM places WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -30 AND 30 AND item_id % 1000 BETWEEN 200 AND 700")
+def geo_search_3d(spark, sf):
+    return _artifact(spark, points3(spark, sf), payload="row-ref").feature_refs(Query("box3d", (-60.0, -30.0, 200.0, 60.0, 30.0, 700.0))).select("row_number")
+
+
+@query(f"{PLACES} SELECT item_id AS row_number, round(lon, 6) AS min_x, round(lat, 6) AS min_y, (item_id % 1000)::DOUBLE AS min_z FROM places")
+def geo_scan_3d(spark, sf):
+    return scan_envelopes(points3(spark, sf), dims="3d").select("row_number", F.round("min_x", 6).alias("min_x"), F.round("min_y", 6).alias("min_y"), "min_z")
+
+
+@query(f"{PLACES} SELECT item_id AS row_number, round(lon, 6) AS min_x, round(lat, 6) AS max_y FROM places WHERE item_id % 3 <> 0")
+def geo_scan_nulls(spark, sf):
+    """Features without a geometry are left out; a height is, when two dimensions are asked for."""
+    some = points3(spark, sf).withColumn("geometry", F.when(F.col("row_number") % 3 != 0, F.col("geometry")))
+    return scan_envelopes(some, "skip", dims="2d").select("row_number", F.round("min_x", 6).alias("min_x"), F.round("max_y", 6).alias("max_y"))
+
+
+@query(f"{SPLIT} SELECT row_number, coalesce(part, -1)::INTEGER AS part, name FROM entry JOIN places ON item_id = row_number WHERE min_x <= 180 AND max_x >= -180 AND min_y <= 30 AND max_y >= -30")
+def geo_read_back_all(spark, sf):
+    """Every reference of a row, in the source's order."""
+    refs = _artifact(spark, lines(spark, sf), payload="row-ref", policy="split").feature_refs(Query("box", (-180.0, -30.0, 180.0, 30.0)))
+    source = derived(spark, sf, "places").select(F.col("item_id").alias("row_number"), "name")
+    return read_back(refs.withColumn("position", F.col("entry_id")), source, "source", "keep").select("row_number", _part(), "name")
+
+
+@query(f"{PLACES} SELECT name AS feature_id, round(lon, 6) AS lon, round(lat, 6) AS lat, segment FROM places")
+def geojson_lines(spark, sf):
+    """Written as a feature a line and read again."""
+    shape = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.col("name").alias("id"), shape.alias("geometry"), F.struct("segment").alias("properties"))
+    path = workspace(spark, "geojson")
+    derived(spark, sf, "places").select(F.to_json(feature).alias("value")).write.text(path)
+    b = read_geojson_lines(spark, path).select("feature_id", "properties", wkb_bounds("geometry").alias("b"))
+    segment = F.get_json_object("properties", "$.segment").alias("segment")
+    return b.select("feature_id", F.round("b.min_x", 6).alias("lon"), F.round("b.min_y", 6).alias("lat"), segment)
+
+
+def _covered(spark, sf) -> str:
+    """A GeoParquet folder with covering columns; the path of it."""
+    path = workspace(spark, "geoparquet")
+    box = F.struct(F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax"))
+    derived(spark, sf, "places").select("name", "segment", wkb_point("lon", "lat").alias("geometry"), box.alias("bbox")).write.parquet(path)
+    return path
+
+
+COVERING = {k: ("bbox", k) for k in ("xmin", "ymin", "xmax", "ymax")}
+
+
+@query(f"{PLACES} SELECT name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM places WHERE lon BETWEEN 100 AND 179 AND lat BETWEEN -30 AND 30")
+def geoparquet_search(spark, sf):
+    features = read_parquet_features(spark, _covered(spark, sf), properties=["name"])
+    found = _artifact(spark, features, payload="feature-json").matches(BOX)
+    return found.select(F.get_json_object("properties", "$.name").alias("name"), F.round("min_x", 6).alias("lon"), F.round("min_y", 6).alias("lat"))
+
+
+@query(f"{PLACES} SELECT round(lon, 6) AS lon, round(lat, 6) AS lat FROM places WHERE lon BETWEEN 100 AND 179 AND lat BETWEEN -30 AND 30")
+def geoparquet_covering_search(spark, sf):
+    """Bounds from covering columns: the scan reads no geometry."""
+    features = read_parquet_features(spark, _covered(spark, sf), covering=COVERING)
+    found = _artifact(spark, features, payload="row-ref").matches(BOX)
+    return found.select(F.round("min_x", 6).alias("lon"), F.round("min_y", 6).alias("lat"))

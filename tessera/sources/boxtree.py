@@ -329,7 +329,7 @@ class Tree:
             raise IndexError("no such leaf")
         found: dict[int, bytes] = {}
         # Neighbouring leaves share a read of the table and one of the bodies.
-        for low, high in self._runs(np.unique(asked), stride or 16):
+        for low, high in self._runs(np.unique(asked), stride or max(16, self.limits.gap_bytes)):
             if stride:
                 ends = np.arange(high - low + 1, dtype=np.int64) * stride + stride * low
             else:

@@ -201,9 +201,11 @@ def geo_metadata(column: str = "geometry", encoding: str = "WKB", types: Sequenc
     return json.dumps({"version": "1.1.0", "primary_column": column, "columns": {column: own}}).encode()
 
 
-def read_parquet_features(spark: SparkSession, path: str, column: str = "geometry", properties: Sequence[str] | None = None) -> DataFrame:
+def read_parquet_features(spark: SparkSession, path: str, column: str = "geometry", properties: Sequence[str] | None = None, covering: dict | None = None) -> DataFrame:
     """Row numbers are the reader's own for each file, after the files before;
-    only the columns asked for are read."""
+    only the columns asked for are read. With the file's `covering` (discover()
+    tells it) bounds come from its columns, and plans without bodies never read
+    a geometry; whether there is a Z is then what the covering says."""
     table = spark.read.parquet(path)
     names = [c for c in table.columns if c != column] if properties is None else list(properties)
     missing = [c for c in names if c not in table.columns]
@@ -213,14 +215,24 @@ def read_parquet_features(spark: SparkSession, path: str, column: str = "geometr
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"),
         F.lit(None).cast("string").alias("feature_id"), F.col(column).alias("geometry"),
         (F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit("{}")).alias("properties"),
+        *([_measured_by(covering)] if covering else []),
     )
     counts = table.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
     return rows.join(F.broadcast(before) if counts.limit(10_001).count() <= 10_000 else before, "path").select(
-        (F.col("before") + F.col("place")).alias("row_number"), "feature_id", "geometry", "properties"
+        (F.col("before") + F.col("place")).alias("row_number"), "feature_id", "geometry", "properties", *(["__bounds"] if covering else [])
     )
 
 
+def _measured_by(covering: dict[str, Sequence[str]]) -> Column:
+    """The covering in the form of `wkb.BOUNDS`; no bounds mean no geometry."""
+    own, none, z = covering_bounds(covering), F.lit(None).cast("double"), "zmin" in covering
+    fields = [own.get(n, none).alias(n) for n in ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")]
+    kind = F.when(own["min_x"].isNotNull(), F.lit("Geometry"))
+    more = [own["min_x"].alias("west"), own["max_x"].alias("east"), kind.alias("kind"), F.lit(z).alias("has_z"), F.lit(False).alias("has_m")]
+    return F.struct(*fields, *more).alias("__bounds")
+
+
 def covering_bounds(covering: dict[str, Sequence[str]]) -> dict[str, Column]:
     """Bounds from a file's covering columns: geometry bytes stay unread."""
     names = {"xmin": "min_x", "ymin": "min_y", "zmin": "min_z", "xmax": "max_x", "ymax": "max_y", "zmax": "max_z"}
