@@ -229,6 +229,46 @@ def plain_points(data: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return at[good], points[good]
 
 
+def bounds_of_many(data: list[bytes | None]) -> pd.DataFrame:
+    """`bounds` of each, by reductions over the coordinates of all."""
+    rows, arrays, found = [], [], pd.DataFrame([(None,) * len(BOUNDS)] * len(data), columns=BOUNDS.names, dtype=object)
+    for k, x in enumerate(data):
+        g = None if x is None else decode(bytes(x))
+        own = [a for a in g.arrays() if len(a)] if g else []
+        if own:
+            z = [a[:, 2] for a in own if a.shape[1] > 2] if g.has_z else []
+            heights = np.concatenate(z) if z else None
+            if z and not np.isfinite(heights).all():
+                raise WkbError("coordinates must be finite numbers")
+            ends = (float(heights.min()), float(heights.max())) if z else (None, None)
+            rows.append((k, sum(map(len, own)), *ends, g.kind, g.has_z, g.has_m))
+            arrays += [a[:, :2] for a in own]
+    if not rows:
+        return found
+    xy = np.concatenate(arrays)
+    if not np.isfinite(xy).all():
+        raise WkbError("coordinates must be finite numbers")
+    at, sizes, low_z, high_z, kinds, has_z, has_m = zip(*rows)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    low, high = np.minimum.reduceat(xy, starts), np.maximum.reduceat(xy, starts)
+    # The gap after each longitude; after the last of a geometry, that around the world to its first.
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    lon = xy[np.lexsort((xy[:, 0], owner)), 0]
+    last = starts + np.array(sizes) - 1
+    gaps = np.append(np.diff(lon), 0.0)
+    gaps[last] = lon[starts] + 360 - lon[last]
+    widest = np.maximum.reduceat(gaps, starts)
+    first = np.flatnonzero(gaps == widest[owner])
+    first = first[np.unique(owner[first], return_index=True)[1]]
+    whole = gaps[last] >= widest
+    west = np.where(whole, lon[starts], lon[np.where(whole, first, first + 1)])
+    east = np.where(whole, lon[last], lon[first])
+    columns = (low[:, 0], low[:, 1], low_z, high[:, 0], high[:, 1], high_z, west, east, kinds, has_z, has_m)
+    measured = pd.DataFrame({n: pd.Series(list(v), dtype=object) for n, v in zip(BOUNDS.names, columns)})
+    found.loc[list(at)] = measured.to_numpy()
+    return found
+
+
 @F.pandas_udf(BOUNDS)
 def wkb_bounds(data: pd.Series) -> pd.DataFrame:
     raw = data.tolist()
@@ -238,7 +278,7 @@ def wkb_bounds(data: pd.Series) -> pd.DataFrame:
     rest = np.setdiff1d(np.arange(len(raw)), at)
     if not len(rest):
         return found
-    others = pd.DataFrame([bounds(raw[k]) or (None,) * len(BOUNDS) for k in rest], columns=BOUNDS.names, index=rest)
+    others = bounds_of_many([raw[k] for k in rest]).set_index(rest)
     return others if not len(at) else pd.concat([found.astype(object), others.astype(object)]).sort_index()
 
 

@@ -36,6 +36,14 @@ def test_bounds_of_mixed_batches(batch):
     assert got == [wkb.bounds(x) or (None,) * len(wkb.BOUNDS) for x in batch]
 
 
+def test_arcs_of_many_lines():
+    dice = np.random.default_rng(2)
+    lines = [dice.integers(-18, 19, (dice.integers(2, 7), 2)) * 10 for _ in range(300)] + [np.array([[-180, 0], [180, 0]]), np.array([[5, 5], [5, 5]])]
+    raw = [wkb.encode(wkb.from_geojson({"type": "LineString", "coordinates": c.tolist()})) for c in lines]
+    got = wkb.bounds_of_many(raw)
+    assert [tuple(r) for r in got.itertuples(index=False)] == [wkb.bounds(x) for x in raw]
+
+
 def test_area_takes_many_at_once(spark):
     area = Area([[[(0, 0), (10, 0), (10, 10), (0, 10)], [(3, 3), (7, 3), (7, 7), (3, 7)]], [[(20, 20), (30, 20), (25, 30)]]])
     dice = np.random.default_rng(4)
