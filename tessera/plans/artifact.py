@@ -12,6 +12,7 @@ payload plan geometry (WKB) and properties (JSON).
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -25,6 +26,7 @@ from tessera.functions.regions import Region
 from tessera.operators.envelope import MEASURED, measured, scan_envelopes
 from tessera.operators.exact import Area, RectanglesMeet, check_planar, intersects, is_projected, within_radius
 from tessera.operators.frame import SpatialFrame
+from tessera.sources.records import project_properties
 
 from .staging import discard, workspace
 
@@ -147,12 +149,15 @@ def convert(
     features: DataFrame, path: str, payload: str = "row-wkb", nulls: str = "skip", policy: str = "planar", dims: str = "auto",
     precision: str = "f64", rows_per_file: int | None = None, edges: str = "planar", crs: str | None = None,
     fingerprint: str | None = None, content_type: str | None = None, attribution: str | None = None,
+    properties: str = "all", names: Sequence[str] = (),
 ) -> Artifact:
-    """Writes the artifact. Geometries are decoded once: features are stored with their bounds first, and what
+    """Writes the artifact; `properties` and `names` are a projection of the features' properties. Geometries are decoded once: features are stored with their bounds first, and what
     counts, sorts and writes the entries reads those."""
     spark = features.sparkSession
     shelf = workspace(spark, "features")
     wanted = ["row_number", "feature_id", MEASURED, *BODIES.get(payload, [])]
+    if "properties" in wanted:
+        features = project_properties(features, properties, names)
     measured(features).select(*wanted).write.parquet(shelf)
     features = spark.read.parquet(shelf)
     entries = index_features(features, payload, nulls, policy, dims)

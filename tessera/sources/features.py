@@ -12,9 +12,11 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wkb
 
@@ -130,6 +132,23 @@ class GeometryColumn:
     usable: bool = True
 
 
+@dataclass(frozen=True)
+class GroupBounds:
+    """What a footer says of a native column in one row group; no bounds where
+    it says nothing. West exceeds east if the group crosses the antimeridian."""
+
+    column: str
+    row_group: int
+    rows: int
+    bounds: tuple[float, float, float, float] | None = None
+    heights: tuple[float, float] | None = None
+    kinds: tuple[int, ...] = ()
+
+    @property
+    def crossing(self) -> bool:
+        return self.bounds is not None and self.bounds[0] > self.bounds[2]
+
+
 @dataclass(frozen=True)
 class Discovery:
     columns: tuple[GeometryColumn, ...]
@@ -138,6 +157,7 @@ class Discovery:
     row_groups: int
     schema: tuple[tuple[str, str], ...]
     warnings: tuple[str, ...] = field(default=())
+    groups: tuple[GroupBounds, ...] = field(default=())
 
     def select(self, name: str | None = None) -> GeometryColumn:
         """By name, else the primary column, else the only native one."""
@@ -185,14 +205,43 @@ def discover(path: str) -> Discovery:
                 c.get("edges", "planar"), {k: tuple(v) for k, v in box.items()} if box else None, usable=usable,
             )
         )
+    groups: list[GroupBounds] = []
     for k in range(len(meta.schema)):
         kind = str(meta.schema.column(k).logical_type)
         name = meta.schema.column(k).path
         if kind.upper().startswith(("GEOMETRY", "GEOGRAPHY")) and name not in geo.get("columns", {}):
             edges = "spherical" if kind.upper().startswith("GEOGRAPHY") else "planar"
             columns.append(GeometryColumn(name, "WKB", edges=edges, native=True))
+            groups += _group_bounds(meta, k)
     fields = tuple((f.name, str(f.type)) for f in schema)
-    return Discovery(tuple(columns), geo.get("primary_column"), meta.num_rows, meta.num_row_groups, fields, tuple(warnings))
+    return Discovery(tuple(columns), geo.get("primary_column"), meta.num_rows, meta.num_row_groups, fields, tuple(warnings), tuple(groups))
+
+
+def _group_bounds(meta, k: int) -> list[GroupBounds]:
+    """Geospatial statistics of leaf column `k`, a row group each."""
+    found = []
+    for g in range(meta.num_row_groups):
+        chunk, rows = meta.row_group(g).column(k), meta.row_group(g).num_rows
+        # Readers older than these statistics don't know them.
+        own = chunk.geo_statistics if getattr(chunk, "is_geo_stats_set", False) else None
+        box = None if own is None else (own.xmin, own.ymin, own.xmax, own.ymax)
+        if box is None or None in box:
+            found.append(GroupBounds(chunk.path_in_schema, g, rows))
+        else:
+            heights = None if own.zmin is None else (own.zmin, own.zmax)
+            found.append(GroupBounds(chunk.path_in_schema, g, rows, box, heights, tuple(own.geospatial_types or ())))
+    return found
+
+
+def discover_features(features: DataFrame) -> Discovery:
+    """Of features in a source without metadata, by one pass over them."""
+    from .inspect import exact_profile
+
+    profile = exact_profile(features)
+    kinds = tuple(k + " Z" * ("z" in profile.dims) for k in profile.kinds)
+    keys = features.select(F.explode(F.json_object_keys("properties")).alias("k")).distinct().orderBy("k").collect()  # the schema, not the data
+    schema = (("geometry", "geometry"), *((r.k, "json") for r in keys))
+    return Discovery((GeometryColumn("geometry", "WKB", kinds, "OGC:CRS84"),), "geometry", profile.rows, 1, schema)
 
 
 def geo_metadata(column: str = "geometry", encoding: str = "WKB", types: Sequence[str] = (), covering: dict | None = None, **more) -> bytes:
@@ -201,8 +250,8 @@ def geo_metadata(column: str = "geometry", encoding: str = "WKB", types: Sequenc
     return json.dumps({"version": "1.1.0", "primary_column": column, "columns": {column: own}}).encode()
 
 
-def read_parquet_features(spark: SparkSession, path: str, column: str = "geometry", properties: Sequence[str] | None = None, covering: dict | None = None) -> DataFrame:
-    """Row numbers are the reader's own for each file, after the files before;
+def read_parquet_features(spark: SparkSession, path: str, column: str = "geometry", properties: Sequence[str] | None = None, covering: dict | None = None, encoding: str = "WKB") -> DataFrame:
+    """Geometries in a GeoArrow `encoding` come out as WKB. Row numbers are the reader's own for each file, after the files before;
     only the columns asked for are read. With the file's `covering` (discover()
     tells it) bounds come from its columns, and plans without bodies never read
     a geometry; whether there is a Z is then what the covering says."""
@@ -213,7 +262,7 @@ def read_parquet_features(spark: SparkSession, path: str, column: str = "geometr
         raise FeatureError(f"no such properties: {missing}")
     rows = table.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"),
-        F.lit(None).cast("string").alias("feature_id"), F.col(column).alias("geometry"),
+        F.lit(None).cast("string").alias("feature_id"), (F.col(column) if encoding == "WKB" else geoarrow_geometry(table, column, encoding)).alias("geometry"),
         (F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit("{}")).alias("properties"),
         *([_measured_by(covering)] if covering else []),
     )
@@ -260,3 +309,61 @@ def geoarrow_bounds(column: str, encoding: str, has_z: bool = False) -> dict[str
 
     low = {f"min_{a}": F.array_min(along(a)) for a in axes}
     return low | {f"max_{a}": F.array_max(along(a)) for a in axes}
+
+
+# Names of GeoArrow encodings and of the geometries they hold.
+GEOARROW_KINDS = {
+    "point": "Point", "linestring": "LineString", "polygon": "Polygon",
+    "multipoint": "MultiPoint", "multilinestring": "MultiLineString", "multipolygon": "MultiPolygon",
+}
+
+
+def _shape(kind: str, value, size: int) -> wkb.Geometry:
+    """A geometry of nested lists of positions; null positions are left out."""
+    z = size > 2
+    if kind == "Point":
+        return wkb.Geometry(kind, z, False, np.array([value], np.float64).reshape(-1, size))
+    if kind.startswith("Multi"):
+        return wkb.Geometry(kind, z, False, None, [_shape(kind[5:], v, size) for v in value if v is not None])
+    if kind == "Polygon":
+        return wkb.Geometry(kind, z, False, [_shape("LineString", r, size).coordinates for r in value if r is not None])
+    rows = [p for p in value if p is not None]
+    return wkb.Geometry(kind, z, False, np.array([list(p) for p in rows], np.float64).reshape(-1, size))
+
+
+def geoarrow_geometry(table: DataFrame, column: str, encoding: str) -> Column:
+    """WKB of a GeoArrow column, whose positions are structs (x, y[, z]) or
+    lists of two or three numbers. A null geometry, a point without x or y and
+    a list of points that are all null hold no coordinates: null or empty."""
+    kind, depth = GEOARROW_KINDS[encoding], DEPTH[encoding]
+    leaf = table.schema[column].dataType
+    for _ in range(depth):
+        leaf = leaf.elementType
+    axes = [a for a in "xyz" if a in leaf.names] if isinstance(leaf, T.StructType) else None
+
+    def positions(value: Column, level: int) -> Column:
+        if level:
+            return F.transform(value, lambda v: positions(v, level - 1))
+        if axes is None:
+            return F.when(F.size(value) > 1, F.slice(value, 1, 3))
+        own = F.array(*[value[a].cast("double") for a in axes])
+        return F.when(value["x"].isNotNull() & value["y"].isNotNull(), own)
+
+    def first(value):
+        """The first position there is, to tell whether it has a z."""
+        if value is None or not len(value):
+            return None
+        if not hasattr(value[0], "__len__") and value[0] is not None:
+            return value
+        return next((f for f in map(first, value) if f is not None), None)
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(values: pd.Series) -> pd.Series:
+        found = []
+        for v in values:
+            place = first(v)
+            size = 2 if place is None else len(place)
+            found.append(None if v is None or kind == "Point" and place is None else wkb.encode(_shape(kind, v, size)))
+        return pd.Series(found, dtype=object)
+
+    return encode(positions(F.col(column), depth))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import wkb
+from .features import Discovery, GeometryColumn
 
 # Fixed values of the published format: magic, geometry types, column types.
 MAGIC = b"fgb\x03fgb"
@@ -25,6 +26,7 @@ GEOMETRY_TYPES = {
     0: "Unknown", 1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection",
     8: "CircularString", 9: "CompoundCurve", 10: "CurvePolygon", 11: "MultiCurve", 12: "MultiSurface", 15: "PolyhedralSurface", 16: "TIN", 17: "Triangle",
 }
+COLUMN_TYPES = ("byte", "ubyte", "bool", "short", "ushort", "int", "uint", "long", "ulong", "float", "double", "string", "json", "datetime", "binary")
 NUMBERS = {0: "b", 1: "B", 2: "?", 3: "h", 4: "H", 5: "i", 6: "I", 7: "q", 8: "Q", 9: "f", 10: "d"}
 TEXTS, JSON, BINARY = (11, 13), 12, 14
 RUN = 4096
@@ -230,3 +232,11 @@ class FlatGeobufSource(DataSource):
 def read_flatgeobuf(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(FlatGeobufSource)
     return spark.read.format("flatgeobuf").load(path)
+
+
+def discover_flatgeobuf(path: str) -> Discovery:
+    """From the header; a count of 0 there means that it isn't known, then features are counted."""
+    head, offsets = feature_offsets(path)
+    kinds = () if head.kind == "Unknown" else (head.kind + " Z" * head.has_z,)
+    schema = (("geometry", "geometry"), *((n, COLUMN_TYPES[t] if t < len(COLUMN_TYPES) else "unknown") for n, t in head.columns))
+    return Discovery((GeometryColumn("geometry", "WKB", kinds, head.crs),), "geometry", head.count or len(offsets), 1, schema)

@@ -93,7 +93,11 @@ def validate(
     if chosen.edges != "planar":
         add("warning", "geography_coordinate_aabb", "edges on a sphere are indexed by their coordinates", chosen.name)
     if chosen.native:
-        add("info", "missing_native_geo_stats", "geospatial statistics of row groups aren't read", chosen.name)
+        groups = [g for g in discovery.groups if g.column == chosen.name]
+        if not groups or any(g.bounds is None for g in groups):
+            add("info", "missing_native_geo_stats", "row groups lack geospatial statistics", chosen.name)
+        if crossing := [g.row_group for g in groups if g.crossing]:
+            add("warning", "antimeridian_wrap", f"row groups that cross the antimeridian: {len(crossing)}, the first is {crossing[0]}", chosen.name)
     if payload in ("row-wkb", "feature-json") and chosen.encoding != "WKB":
         add("error", "cannot_emit_payload", f"{payload} needs WKB, the column is {chosen.encoding}", chosen.name)
     names = {n for n, _ in discovery.schema}

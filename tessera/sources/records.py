@@ -3,10 +3,12 @@ into a feature's JSON."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,3 +86,26 @@ def projected_properties(columns: Sequence[str], geometry: str, kind: str = "all
     if missing := [n for n in names if n not in rest]:
         raise ValueError(f"no such properties: {missing}")
     return list(names)
+
+
+def project_properties(features: DataFrame, kind: str = "all", names: Sequence[str] = ()) -> DataFrame:
+    """Features whose properties (JSON text) hold only what the projection
+    names. A feature without one of the names has the others. Names keep their
+    order in the text, and values their text but for white space."""
+    if kind not in ("none", "all", "include", "exclude"):
+        raise ValueError(f"unknown projection {kind}")
+    if kind == "all":
+        return features
+    wanted = frozenset(names if kind != "none" else ())
+
+    @F.pandas_udf(T.StringType())
+    def keep(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            return json.dumps({k: v for k, v in json.loads(text).items() if (k in wanted) != (kind == "exclude")})
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    own: Column = F.when(F.col("properties").isNotNull(), F.lit("{}")) if kind == "none" else keep("properties")
+    return features.withColumn("properties", own)
